@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import fixed_values as fv
 from factloom.functions import text as tx
+from factloom.functions.rows import once, unnest
 
 # Order of a fact, node or chunk in the corpus: document, sentence, position inside the sentence.
 ORD_TYPE = "struct<doc_seq:bigint,sent_idx:int,sub:bigint>"
@@ -38,7 +39,9 @@ def parse_raw(raw_files: DataFrame, max_chars: int | None = fv.CORPUS_MAX_CHARS)
 
 def assemble(fields: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Fields plus ``body`` to documents: garbage bodies are emptied, the parts joined and cleaned."""
-    checked = fields.withColumn("skipped_content", tx.is_garbage(F.col("body"))).withColumn(
+    checked = once(fields, "skipped_content", tx.is_garbage(F.col("body")))
+    checked = once(
+        checked,
         "content",
         F.when(F.col("skipped_content"), F.lit("")).otherwise(tx.clean_text(F.col("body"))),
     )
@@ -46,7 +49,7 @@ def assemble(fields: DataFrame, max_chars: int | None = None) -> DataFrame:
     text = tx.clean_text(F.concat_ws("\n", *parts))
     if max_chars is not None:
         text = F.substring(text, 1, max_chars)
-    return checked.withColumn("text", text).select(
+    return once(checked, "text", text).select(
         "doc_id",
         "doc_seq",
         "path",
@@ -62,11 +65,8 @@ def assemble(fields: DataFrame, max_chars: int | None = None) -> DataFrame:
 
 def sentence_table(documents: DataFrame) -> DataFrame:
     """One row per kept sentence, numbered within its document."""
-    return documents.select(
-        "doc_id", "doc_seq", "title", F.posexplode(tx.sentences(F.col("text")))
-    ).select(
-        "doc_id", "doc_seq", "title", F.col("pos").alias("sent_idx"), F.col("col").alias("sentence")
-    )
+    keep = ["doc_id", "doc_seq", "title"]
+    return unnest(documents, keep, tx.sentences(F.col("text")), "sent_idx", "sentence")
 
 
 def windows(documents: DataFrame, size: int, stride: int, min_chars: int) -> DataFrame:
@@ -92,7 +92,7 @@ def windows(documents: DataFrame, size: int, stride: int, min_chars: int) -> Dat
 
     cuts = tx.let(tx.sentences(F.col("text")), with_keys)
     return (
-        documents.select("doc_id", "doc_seq", "title", F.posexplode(cuts).alias("chunk_ix", "cut"))
+        unnest(documents, ["doc_id", "doc_seq", "title"], cuts, "chunk_ix", "cut")
         .where(F.length("cut.text") >= min_chars)
         .select("doc_id", "doc_seq", "title", "chunk_ix", "cut.text", "cut.text_key")
     )
@@ -158,17 +158,10 @@ def char_chunks(
 
     steps = F.ceil(F.length("text") / max(half, 1)).cast("int") + 1
     chunks = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["chunks"])
+    keep = ["doc_id", "doc_seq", "title", "link"]
     return (
-        documents.where(F.length("text") > 0)
-        .select("doc_id", "doc_seq", "title", "link", F.posexplode(chunks))
-        .select(
-            "doc_id",
-            "doc_seq",
-            "title",
-            "link",
-            (F.col("pos") + 1).alias("chunk_index"),
-            F.col("col").alias("chunk"),
-        )
+        unnest(documents, keep, chunks, "pos", "chunk")
+        .select(*keep, (F.col("pos") + 1).alias("chunk_index"), "chunk")
         .withColumn("key", cache_key(F.col("doc_id"), F.col("chunk_index"), F.col("chunk")))
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom import fixed_values as fv
 from factloom.functions import text as tx
+from factloom.functions.rows import once
 
 # Up to this many aliases the dictionary travels inside the plan; beyond it linking is a join.
 MAX_INLINE_ALIASES = 2_000
@@ -206,7 +207,7 @@ def with_entities(
 ) -> DataFrame:
     """Add the entities of a text column, choosing the way by the size of the dictionary."""
     if len(dictionary.alias_rows) <= MAX_INLINE_ALIASES:
-        return df.withColumn(into, link_inline(F.col(text), dictionary))
+        return once(df, into, link_inline(F.col(text), dictionary))
     return link_by_join(df, text, dictionary, into)
 
 
