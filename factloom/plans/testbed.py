@@ -25,6 +25,11 @@ Thly | Concept | Thly
 Market share | Concept | Ofonrereer; rere
 Inner | Concept | tion of
 Signs | Concept | ###; $$$ ; +
+Thea Erre Trust | Company | Thea Erre Trust
+Thnt Thor Alliance | Company | Thnt Thor Alliance
+Thed Ther Region | Region | Thed Ther Region
+Estion Tionth Board | Organization | Estion Tionth Board
+Thre Onst Union | Policy | Thre Onst Union
 """
 UNBOUNDED = ("tion of", "###")
 GENERIC = ("Thly", "Market share", "Than", "Inner")
