@@ -142,6 +142,16 @@ def relation_name(relation: Column) -> Column:
     return F.when(joined == "", F.lit(fv.RELATED_TO)).otherwise(joined)
 
 
+def json_object(reply: Column) -> Column:
+    """The reply if it is a JSON object, else the span of its outermost braces if that is one."""
+
+    def valid(text: Column) -> Column:
+        bare = strip(text)
+        return F.when(bare.startswith("{") & F.try_parse_json(bare).isNotNull(), bare)
+
+    return F.coalesce(valid(reply), valid(F.regexp_extract(reply, r"(?s)\{.*\}", 0)))
+
+
 def contains_all_groups(text: Column, groups: Sequence[Sequence[str]]) -> Column:
     """True if every group has a phrase that stands in the text."""
     condition = F.lit(True)

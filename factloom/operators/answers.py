@@ -190,15 +190,12 @@ def parse_judgements(replies: DataFrame) -> DataFrame:
 
     Scores are cut toward zero; flags given as text count as set only if they say true.
     """
-    plain = F.from_json("reply", JUDGEMENT_FIELDS)
-    inner = F.from_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0), JUDGEMENT_FIELDS)
-    parsed = once(replies, "j", F.coalesce(plain, inner))
+    parsed = once(replies, "j", F.from_json(tx.json_object(F.col("reply")), JUDGEMENT_FIELDS))
 
     def score(name: str) -> Column:
-        value = F.expr(f"try_cast(j.{name} as double)")
-        whole = F.when(F.isnan(value), 0).otherwise(F.expr(f"try_cast(j.{name} as double)"))
-        clamped = F.greatest(F.lit(0.0), F.least(F.lit(10.0), whole))
-        return F.coalesce(clamped.cast("int"), F.lit(0)).alias(name)
+        value = F.coalesce(F.expr(f"try_cast(j.{name} as double)"), F.lit(0.0))
+        clamped = F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.nanvl(value, F.lit(0.0))))
+        return clamped.cast("int").alias(name)
 
     def flag(name: str) -> Column:
         return F.coalesce(F.lower(F.col(f"j.{name}")) == "true", F.lit(False)).alias(name)

@@ -35,12 +35,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     Columns other than ``reply`` are kept.
     """
     keep = [c for c in replies.columns if c != "reply"]
-    plain = F.from_json("reply", f"struct<{_json_fields()}>", {"mode": "PERMISSIVE"})
-    inner = F.from_json(
-        F.regexp_extract("reply", r"(?s)\{.*\}", 0), f"struct<{_json_fields()}>"
-    )
-    good = F.coalesce(_if_object(F.col("reply"), plain), inner)
-    parsed = once(replies, "parsed", good)
+    parsed = once(replies, "parsed", F.from_json(tx.json_object(F.col("reply")), REPLY_SCHEMA))
     empty = F.array().cast(TRIPLES)
     return parsed.select(
         *keep,
@@ -49,16 +44,6 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     )
 
 
-def _json_fields() -> str:
-    return f"triples:{TRIPLES}"
-
-
-def _if_object(text: Column, parsed: Column) -> Column:
-    """Keep a parse only if the text starts and ends as an object."""
-    bare = tx.strip(text)
-    return F.when(bare.startswith("{") & bare.endswith("}"), parsed)
-
-
 def coerce_triples(parsed: DataFrame) -> DataFrame:
     """Raw triples to clean ones; without both ends, or with equal ends, they are dropped.
 
