@@ -135,30 +135,30 @@ def _aliases() -> str:
 def linked(table: str, ids: str, text: str) -> str:
     return (
         f"SELECT {ids}, entity, type, min(rank) AS alias_rank FROM {table} JOIN aliases"
-        f" ON regexp_matches({text}, pattern) GROUP BY ALL"
+        f" ON CASE WHEN contains(lower({text}), lower(alias)) THEN regexp_matches({text}, pattern) ELSE false END GROUP BY ALL"
     )
 
 
 def _rule_facts() -> str:
     r = tb.RULES
     selects = []
-    for rule in r.subject_rules:
+    for i, rule in enumerate(r.subject_rules):
         target = metric(f"entity || {lit(f' {rule.kind}: ')} || array_to_string(list_slice(nums, 1, 3), ', ')")
         selects.append(
             f"SELECT entity AS source, {lit(rule.relation)} AS relation, {target} AS target,"
-            f" {r.subject_weight} AS weight, sentence, doc_id, doc_seq, sent_idx FROM linked_numbers"
+            f" {r.subject_weight} AS weight, sentence, doc_id, doc_seq, sent_idx, 1000000 + alias_rank * 100 + {i} AS sub FROM linked_numbers"
             f" WHERE type = {lit(r.subject_type)} AND len(nums) > 0 AND {groups('lower(sentence)', rule.groups)}"
         )
-    for rule in r.fixed_rules:
+    for i, rule in enumerate(r.fixed_rules):
         selects.append(
             f"SELECT {lit(rule.source)}, {lit(rule.relation)}, {lit(rule.target)}, {r.fixed_weight}, sentence,"
-            f" doc_id, doc_seq, sent_idx FROM linked_texts WHERE {groups('lower(sentence)', rule.groups)}"
+            f" doc_id, doc_seq, sent_idx, 2000000 + {i} FROM linked_texts WHERE {groups('lower(sentence)', rule.groups)}"
             f" AND {groups('sentence', rule.verbatim)}"
         )
-    for rule in r.fan_rules:
+    for i, rule in enumerate(r.fan_rules):
         selects.append(
             f"SELECT {lit(rule.source)}, {lit(rule.relation)}, entity, {r.fan_weight}, sentence, doc_id, doc_seq,"
-            f" sent_idx FROM linked_numbers WHERE entity <> {lit(rule.source)}"
+            f" sent_idx, {3 + i} * 1000000 + alias_rank FROM linked_numbers WHERE entity <> {lit(rule.source)}"
             f" AND {groups('lower(sentence)', rule.groups)}"
         )
     return " UNION ALL ".join(selects)
@@ -207,10 +207,10 @@ def char_chunks(size: int) -> str:
         SELECT doc_id, 0 AS step, text AS rest, CAST(NULL AS VARCHAR) AS chunk FROM docs WHERE length(text) > 0
         UNION ALL
         SELECT doc_id, step + 1, substring(rest, stop + 1), trim(substring(win, 1, stop), {WS}) FROM (
-          SELECT *, CASE WHEN length(rest) > {size} AND at - 1 > {half} THEN at ELSE length(win) END AS stop FROM (
+          SELECT *, CASE WHEN length(rest) > {size} AND brk - 1 > {half} THEN brk ELSE length(win) END AS stop FROM (
             SELECT *, greatest(
               CASE WHEN strpos(reverse(win), ' .') > 0 THEN length(win) - strpos(reverse(win), ' .') ELSE 0 END,
-              CASE WHEN strpos(reverse(win), chr(10)) > 0 THEN length(win) - strpos(reverse(win), chr(10)) + 1 ELSE 0 END) AS at
+              CASE WHEN strpos(reverse(win), chr(10)) > 0 THEN length(win) - strpos(reverse(win), chr(10)) + 1 ELSE 0 END) AS brk
             FROM (SELECT *, left(rest, {size}) AS win FROM cuts WHERE length(rest) > 0))))
       SELECT * FROM cuts WHERE chunk <> '')"""
 
@@ -269,11 +269,11 @@ CTES: dict[str, str] = {
     "linked_numbers": f"SELECT *, {numbers('sentence')} AS nums FROM sent_links",
     "ruled": _rule_facts(),
     "pairs": "SELECT a.entity AS source, 'CO_OCCURS_WITH' AS relation, b.entity AS target, 0.7 AS weight, a.sentence, a.doc_id,"
-    " a.doc_seq, a.sent_idx FROM sent_links a JOIN sent_links b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.entity < b.entity",
+    " a.doc_seq, a.sent_idx, row_number() OVER (PARTITION BY a.doc_id, a.sent_idx ORDER BY a.entity, b.entity) AS sub FROM sent_links a JOIN sent_links b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.entity < b.entity",
     "facts": "SELECT entity AS source, 'MENTIONED_IN' AS relation, 'doc:' || doc_id AS target, CAST(0.4 AS DECIMAL(18,6)) AS weight,"
     " doc_id AS evidence, doc_id, doc_seq, -1 AS sent_idx, row_number() OVER (PARTITION BY doc_id ORDER BY alias_rank) AS sub FROM doc_links"
-    " UNION ALL SELECT source, relation, target, CAST(weight AS DECIMAL(18,6)), sentence, doc_id, doc_seq, sent_idx, 0 FROM pairs"
-    " UNION ALL SELECT source, relation, target, CAST(weight AS DECIMAL(18,6)), sentence, doc_id, doc_seq, sent_idx, 1 FROM ruled",
+    " UNION ALL SELECT source, relation, target, CAST(weight AS DECIMAL(18,6)), sentence, doc_id, doc_seq, sent_idx, sub FROM pairs"
+    " UNION ALL SELECT source, relation, target, CAST(weight AS DECIMAL(18,6)), sentence, doc_id, doc_seq, sent_idx, sub FROM ruled",
     "evidence_firsts": f"SELECT {EDGE}, evidence, min({ORD}) AS ord FROM facts WHERE evidence <> '' GROUP BY ALL",
     "evidence_ranked": f"SELECT *, row_number() OVER (PARTITION BY {EDGE} ORDER BY ord) AS rank FROM evidence_firsts"
     f" QUALIFY row_number() OVER (PARTITION BY {EDGE} ORDER BY ord) <= 4",
@@ -288,7 +288,7 @@ CTES: dict[str, str] = {
     "nodes": "SELECT node, type, node AS label, coalesce(n, 0) AS mentions, CAST(NULL AS VARCHAR) AS title, [-1, -1, def_ord] AS node_ord"
     " FROM entity_nodes LEFT JOIN (SELECT entity AS node, count(*) AS n FROM sent_links GROUP BY entity) USING (node)"
     " UNION ALL SELECT 'doc:' || doc_id, 'Document', doc_id, 0, doc_id, [doc_seq, -1, 0] FROM docs"
-    " UNION ALL SELECT target, 'Metric', replace(target, 'metric:', ''), count(*) - 1, NULL, min([doc_seq, sent_idx, 1]) FROM ruled"
+    " UNION ALL SELECT target, 'Metric', replace(target, 'metric:', ''), count(*) - 1, NULL, min([doc_seq, sent_idx, sub]) FROM ruled"
     " WHERE target LIKE 'metric:%' GROUP BY target",
     "ordered_edges": "SELECT e.*, list_concat(n.node_ord, list_concat(min(first_ord) OVER (PARTITION BY source, target), first_ord)) AS edge_ord"
     " FROM edges e LEFT JOIN nodes n ON e.source = n.node",
