@@ -667,4 +667,8 @@ QUERIES: dict[str, Callable[[Bed], DataFrame]] = {
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES[name](bed(spark, folder))
+    df = QUERIES[name](bed(spark, folder))
+    whole = ("tinyint", "smallint", "int")
+    return df.select(
+        *(F.col(f.name).cast("bigint") if f.dataType.simpleString() in whole else F.col(f.name) for f in df.schema)
+    )

@@ -553,4 +553,25 @@ _FINAL: dict[str, str] = {
     "label_quality_of_evidence": "SELECT quality, toxic, count(*) AS evidence FROM flat_ev JOIN labels ON source_id = 'doc_' || labels.doc_id GROUP BY ALL",
 }
 
-ORACLES = {name: with_ctes(sql) for name, sql in _FINAL.items()}
+# Columns the other engine would give as 32-bit integers.
+_WIDENED: dict[str, str] = {
+    "garbage_filter": "garbage",
+    "entity_links_documents": "alias_rank",
+    "entity_links_by_join": "alias_rank",
+    "star_walk": "qid dist",
+    "malformed_replies": "malformed",
+    "cache_split": "hit",
+    "judgements": "flat_score graphrag_score flat_hallucination graphrag_hallucination",
+    "label_quality_of_evidence": "quality toxic",
+}
+
+
+def _widened(name: str, sql: str) -> str:
+    columns = _WIDENED.get(name, "").split()
+    if not columns:
+        return sql
+    casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
+
+ORACLES = {name: with_ctes(_widened(name, sql)) for name, sql in _FINAL.items()}
