@@ -22,27 +22,44 @@ EDGE_KEY = g.EDGE_KEY
 
 @dataclass(frozen=True)
 class ChunkIndex:
-    """Staged chunks ``(doc_id, doc_seq, title, chunk_ix, text, text_key)`` and their fitted model."""
+    """Chunks, the fitted model and the sparse vectors of the chunks.
+
+    ``chunks`` has ``doc_id, doc_seq, title, chunk_ix, text, text_key, terms`` and ``vectors`` the
+    chunk key with ``vec``; both are staged, so each question reads only the columns it needs.
+    """
 
     chunks: DataFrame
     model: tfidf.TfidfModel
+    vectors: DataFrame
 
-    def vectors(self) -> DataFrame:
-        return self.model.vectors(self.chunks, "text", CHUNK_KEY)
+    def query_vectors(self, questions: DataFrame) -> DataFrame:
+        return self.model.vectors(questions, "question", ["qid"])
 
     def similarity(self, questions: DataFrame) -> DataFrame:
-        queries = self.model.vectors(questions, "question", ["qid"])
-        return tfidf.cosine(queries, self.vectors(), CHUNK_KEY)
+        return tfidf.cosine(self.query_vectors(questions), self.vectors, CHUNK_KEY)
+
+    def chunk_terms(self) -> DataFrame:
+        return self.chunks.select(*CHUNK_KEY, F.explode("terms").alias("term"))
+
+
+def build_index(
+    chunks: DataFrame, name: str, max_features: int, stop_words: Sequence[str] | None = None
+) -> ChunkIndex:
+    chunks = stage(once(chunks, "terms", tx.term_set(F.col("text"))), f"{name}-chunks")
+    model = tfidf.fit(chunks, "text", max_features, stop_words)
+    return ChunkIndex(
+        chunks, model, stage(model.vectors(chunks, "text", CHUNK_KEY), f"{name}-vectors")
+    )
 
 
 def flat_index(documents: DataFrame, stop_words: Sequence[str] | None = None) -> ChunkIndex:
-    chunks = stage(corpus.flat_chunks(documents), "flat-chunks")
-    return ChunkIndex(chunks, tfidf.fit(chunks, "text", fv.FLAT_MAX_FEATURES, stop_words))
+    return build_index(corpus.flat_chunks(documents), "flat", fv.FLAT_MAX_FEATURES, stop_words)
 
 
 def guided_index(documents: DataFrame, stop_words: Sequence[str] | None = None) -> ChunkIndex:
-    chunks = stage(corpus.guided_chunks(documents), "guided-chunks")
-    return ChunkIndex(chunks, tfidf.fit(chunks, "text", fv.GUIDED_MAX_FEATURES, stop_words))
+    return build_index(
+        corpus.guided_chunks(documents), "guided", fv.GUIDED_MAX_FEATURES, stop_words
+    )
 
 
 # --- flat retrieval ----------------------------------------------------------------------------------
@@ -59,8 +76,8 @@ def flat_search(
     """
     if score_mode not in ("cosine", "distance"):
         raise ValueError(f"unknown score mode {score_mode!r}")
-    queries = index.model.vectors(questions, "question", ["qid"])
-    vectors = index.vectors()
+    queries = index.query_vectors(questions)
+    vectors = index.vectors
     matched = tfidf.cosine(queries, vectors, CHUNK_KEY)
     # Chunks in corpus order stand for all those without a common term.  By distance, chunks
     # without any vocabulary term are nearer than other strangers, so both kinds are kept.
@@ -397,10 +414,7 @@ def chunk_signals(questions: DataFrame, index: ChunkIndex) -> DataFrame:
     similar = index.similarity(questions).select(
         "qid", *CHUNK_KEY, "sim", none.alias("shared"), none.alias("markers")
     )
-    chunk_terms = index.chunks.select(
-        *CHUNK_KEY, F.explode(tx.term_set(F.col("text"))).alias("term")
-    )
-    shared = chunk_terms.join(question_terms(questions), "term").select(
+    shared = index.chunk_terms().join(question_terms(questions), "term").select(
         "qid", *CHUNK_KEY, F.lit(0.0).alias("sim"), F.lit(1).alias("shared"), none.alias("markers")
     )
     asked = questions.select(
@@ -447,7 +461,7 @@ def graph_term_hits(top_rows: DataFrame, index: ChunkIndex) -> DataFrame:
     """Terms a chunk shares with the best facts of a question."""
     graph_terms = top_rows.select("qid", F.explode("row_terms").alias("term")).distinct()
     return (
-        index.chunks.select(*CHUNK_KEY, F.explode(tx.term_set(F.col("text"))).alias("term"))
+        index.chunk_terms()
         .join(graph_terms, "term")
         .groupBy("qid", *CHUNK_KEY)
         .agg(F.count("*").alias("graph_shared"))
@@ -550,6 +564,19 @@ def graph_search(
     seeds = stage(primary_seeds(questions, graph, dictionary, generic, not_specific), "seeds")
     facts = stage(scored_facts(questions, seeds, graph, generic), "scored-facts")
     signals = stage(chunk_signals(questions, index), "chunk-signals")
+    return combine(seeds, facts, signals, graph, index, top_k, documents)
+
+
+def combine(
+    seeds: DataFrame,
+    facts: DataFrame,
+    signals: DataFrame,
+    graph: g.Graph,
+    index: ChunkIndex,
+    top_k: int = 10,
+    documents: DataFrame | None = None,
+) -> GraphAnswerInputs:
+    """Weigh documents into the facts, pick supporting chunks, and merge both by score."""
     boosted = with_document_boost(facts, graph.edge_sources, document_relevance(signals))
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "edge_ord")
     rows = stage(

@@ -78,14 +78,7 @@ class Bed:
 
     @cached_property
     def search(self) -> r.GraphAnswerInputs:
-        found = r.graph_search(
-            self.questions,
-            self.graph,
-            self.guided_index,
-            tb.DICTIONARY,
-            generic=tb.GENERIC,
-            not_specific=tb.NOT_SPECIFIC,
-        )
+        found = r.combine(self.seeds, self.facts, self.signals, self.graph, self.guided_index)
         return r.GraphAnswerInputs(found.seeds, stage(found.evidence, "evidence"), found.rows)
 
     @cached_property
@@ -118,7 +111,7 @@ class Bed:
     @cached_property
     def replies(self) -> DataFrame:
         """Reply texts with triples as JSON, made from orders: some in prose, some broken."""
-        orders = self.table("orders")
+        orders = tables.spread(self.table("orders"), "o_orderkey")
         item = F.to_json(
             F.struct(
                 F.concat(F.lit("Cust "), F.col("o_custkey")).alias("source"),
@@ -542,7 +535,7 @@ def tfidf_vocabulary(b: Bed) -> DataFrame:
 
 
 def tfidf_vectors(b: Bed) -> DataFrame:
-    return b.flat_index.vectors().select(
+    return b.flat_index.vectors.select(
         "doc_id", "chunk_ix", F.size("vec").alias("n_terms"),
         F.round(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x["w"]), 6).alias("weight_sum"),
     )
