@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from typing import Protocol
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +19,6 @@ REPLY_SCHEMA = f"triples {TRIPLES}"
 CACHE_SCHEMA = f"key string, triples {TRIPLES}"
 
 
-class Extractor(Protocol):
-    """Turns chunks into reply texts; the only step of extraction that is not Spark's."""
-
-    def reply(self, doc_id: str, title: str, link: str, chunk_index: int, chunk: str) -> str: ...
-
-
 def parse_replies(replies: DataFrame) -> DataFrame:
     """Parse ``reply`` as a JSON object, or the outermost braces inside it; ``malformed`` marks others.
 
@@ -106,25 +96,6 @@ def split_by_cache(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     return chunks.join(cache, "key"), chunks.join(cache, "key", "left_anti")
 
 
-def extract(chunks: DataFrame, extractor: Extractor) -> DataFrame:
-    """Replies for chunks, made batch by batch where the chunks are.
-
-    The Python part only hands texts to the extractor; parsing and coercion stay in the plan.
-    """
-    keep = ["doc_id", "doc_seq", "title", "link", "chunk_index", "key"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*keep).schema)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies = [
-                extractor.reply(r.doc_id, r.title, r.link, r.chunk_index, r.chunk)
-                for r in batch.itertuples()
-            ]
-            yield batch[keep].assign(reply=replies)
-
-    return chunks.select(*keep, "chunk").mapInPandas(run, f"{schema}, reply string")
-
-
 def cached_form(coerced: DataFrame, chunks: DataFrame) -> DataFrame:
     """Coerced triples back in cache form, one row per chunk, chunks without triples included."""
     item = F.struct(

@@ -199,6 +199,11 @@ def write_results(results: DataFrame, path: str) -> None:
     ).csv(path)
 
 
+def write_table_of_noise(doc_ids: DataFrame, path: str) -> None:
+    """Ids of documents whose content was skipped; the list may be long, so it is its own table."""
+    doc_ids.write.mode("overwrite").json(path)
+
+
 def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
