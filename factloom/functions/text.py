@@ -121,6 +121,28 @@ def marker_hits(markers: Column, text: Column) -> Column:
     )
 
 
+def marker_candidates(text: Column) -> Column:
+    """Every marker a question could have that stands anywhere in the text, as a set.
+
+    The look-ahead tries each place, so markers inside longer numbers are found as well.
+    """
+    none = F.array().cast("array<string>")
+
+    def found(lowered: Column) -> Column:
+        parts = [
+            F.when(
+                F.contains(lowered, F.lit(sign)),
+                F.regexp_extract_all(lowered, F.lit(f"(?=({pattern}))"), F.lit(1)),
+            ).otherwise(none)
+            for sign, pattern in fv.MARKER_FORMS
+        ]
+        phrases = F.array(*map(F.lit, fv.MARKER_PHRASES))
+        parts.append(F.filter(phrases, lambda p: F.contains(lowered, p)))
+        return F.array_distinct(F.concat(*parts))
+
+    return let(F.lower(text), found)
+
+
 def numbers(sentence: Column) -> Column:
     """Money amounts, then percentages, then counts; one number may appear under two of them."""
     return F.concat(

@@ -420,15 +420,8 @@ def chunk_signals(questions: DataFrame, index: ChunkIndex) -> DataFrame:
     asked = questions.select(
         "qid", F.explode(tx.query_markers(F.col("question"))).alias("marker")
     )
-    # The distinct markers of the questions: quarters, years, percentages and a few phrases.
-    all_markers = asked.agg(F.collect_set("marker").alias("m")).scalar()
-    present = (
-        once(index.chunks.select(*CHUNK_KEY, "text"), "lowered", F.lower("text"))
-        .select(*CHUNK_KEY, "lowered", all_markers.alias("asked"))
-        .select(
-            *CHUNK_KEY,
-            F.explode(F.filter("asked", lambda m: F.contains(F.col("lowered"), m))).alias("marker"),
-        )
+    present = index.chunks.select(
+        *CHUNK_KEY, F.explode(tx.marker_candidates(F.col("text"))).alias("marker")
     )
     marked = present.join(asked, "marker").select(
         "qid", *CHUNK_KEY, F.lit(0.0).alias("sim"), none.alias("shared"), F.lit(1).alias("markers")

@@ -205,7 +205,7 @@ def write_table_of_noise(doc_ids: DataFrame, path: str) -> None:
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
-    metadata.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    metadata.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_graphml(nodes: list, edges: list, path: str) -> None:

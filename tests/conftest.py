@@ -11,7 +11,7 @@ from factloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8")
+    return local_session("8", shuffle_partitions=4)
 
 
 @pytest.fixture(scope="session")

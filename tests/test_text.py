@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import fixed_values as fv
 from factloom.functions import text as tx
 
 
@@ -72,13 +73,23 @@ def test_markers(spark):
     assert hits == [2, 0]
 
 
+def test_marker_candidates_are_all_markers_in_a_text(spark):
+    texts = ["up 15.25% in 202024, 2019% of xq1q4", "1.2.5% Sales", "none", "2%3%", "year-over-year 50%: More than 50%"]
+    forms = [f"q{i}" for i in range(1, 5)] + [f"20{i:02d}" for i in range(100)] + [f"{i}%" for i in range(2100)]
+    forms += [f"0{i}%" for i in range(100)]
+    forms += [f"{i}.{j}%" for i in range(20) for j in range(30)] + list(fv.MARKER_PHRASES)
+    got = values(spark, tx.marker_candidates, texts)
+    for text, found in zip(texts, got):
+        assert {m for m in forms if m in text.lower()} == set(found)
+
+
 def test_numbers(spark):
     check(
         spark,
         tx.numbers,
         {
             "US$1,234.5 million and 12.5%": ["US$1,234.5 million", "12.5%", "1,234"],
-            "21,912, in 2024": ["21,912,", "2024"],
+            "21,912, in 2024": ["21,912", "2024"],
             "$7.5 billion": ["$7.5 billion"],
             "only 12": [],
         },
