@@ -89,10 +89,22 @@ def flat_search(
     fillers = (
         queries.select("qid", F.explode(listed.scalar()).alias("c"))
         .select("qid", "c.*")
-        .join(matched, ["qid", *CHUNK_KEY], "left_anti")
         .withColumn("sim", F.lit(0.0))
     )
-    candidates = matched.withColumn("empty", F.lit(False)).unionByName(fillers)
+    # Only the best matches meet the fillers.  A filler that matches but is not among them stays
+    # behind all k of them, so its zero does no harm.
+    by_sim = Window.partitionBy("qid").orderBy(F.desc("sim"), "doc_seq", "chunk_ix")
+    matches = (
+        matched.withColumn("place", F.row_number().over(by_sim))
+        .where(F.col("place") <= k)
+        .drop("place")
+        .withColumn("empty", F.lit(False))
+    )
+    candidates = (
+        matches.unionByName(fillers)
+        .groupBy("qid", *CHUNK_KEY)
+        .agg(F.max("sim").alias("sim"), F.max("empty").alias("empty"))
+    )
     if score_mode == "distance":
         norms = queries.select("qid", (F.size("vec") > 0).cast("double").alias("norm"))
         distance = F.col("norm") + F.when(F.col("empty"), 0.0).otherwise(1.0) - 2 * F.col("sim")
