@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 from factloom import fixed_values as fv
 from factloom.functions import text as tx
 from factloom.functions.rows import once
-from factloom.operators import answers, corpus, entities, retrieval as r, tfidf, triples as tr, visual
+from factloom.operators import answers, corpus, entities, retrieval as r, triples as tr, visual
 from factloom.operators import graph as g
 from factloom.plans import testbed as tb
-from factloom.session import stage
+from factloom.session import shared_folder, stage
 from factloom.sources import files, tables
 
 STYLE = visual.VisualStyle(
@@ -461,9 +462,6 @@ def edge_export(b: Bed) -> DataFrame:
 
 
 def triples_round_trip(b: Bed) -> DataFrame:
-    from factloom.session import shared_folder
-    import uuid
-
     path = f"{shared_folder(b.spark)}/triples-{uuid.uuid4().hex}.csv"
     files.write_triples(b.graph, path)
     back = files.graph_from_triple_rows(files.read_triples(b.spark, path), tb.DICTIONARY)

@@ -105,7 +105,7 @@ class Pipeline:
 
     def draw(self, graph: g.Graph) -> None:
         nodes, edges = visual.visual_core(graph)
-        files.write_graphml(nodes, edges, f"{self.output}/knowledge_graph.graphml")
+        files.write_graphml(self.spark, nodes, edges, f"{self.output}/knowledge_graph.graphml")
         log.info("graph core: %d nodes, %d edges", len(nodes), len(edges))
 
     # --- answering -----------------------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
@@ -208,7 +207,7 @@ def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_graphml(nodes: list, edges: list, path: str) -> None:
+def write_graphml(spark: SparkSession, nodes: list, edges: list, path: str) -> None:
     """The core of the graph, at most a screenful, as GraphML; rows as ``operators.visual`` gives."""
     ns = "http://graphml.graphdrawing.org/xmlns"
     ET.register_namespace("", ns)
@@ -236,5 +235,5 @@ def write_graphml(nodes: list, edges: list, path: str) -> None:
         item = ET.SubElement(body, f"{{{ns}}}edge", source=edge["left"], target=edge["right"])
         for key, _, name, _ in keys[3:]:
             ET.SubElement(item, f"{{{ns}}}data", key=key).text = str(edge[name])
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    ET.ElementTree(root).write(path, encoding="utf-8", xml_declaration=True)
+    text = ET.tostring(root, encoding="unicode", xml_declaration=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
