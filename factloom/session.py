@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_SHARED = "/tmp/checkpoints/factloom"
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "factloom") -> SparkSession:
     """A session for tests and benches on one machine; a cluster brings its own configuration."""
@@ -20,6 +22,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fac
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", LOCAL_SHARED)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,15 +32,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fac
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Sessions on one machine that name none (those of tests) get one; a cluster has to name it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="factloom-")
-    spark.sparkContext.setCheckpointDir(folder)
+    spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -50,4 +52,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.staged_path = path
+    return read
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete stages that no later step reads, and let go of shuffle files nobody refers to.
+
+    Spark keeps the files of a shuffle until the driver's collector has found its plan unreachable,
+    which in a long chain of stages may be after the disks are full.
+    """
+    for df in staged:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if staged:
+        gc.collect()
+        staged[0].sparkSession._jvm.System.gc()
