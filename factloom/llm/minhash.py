@@ -8,10 +8,11 @@ that agree in ``least`` of the coordinates share one of the ``coordinates - leas
 
 Posting lists are not expanded into all pairs.  The class whose values are most common leads each of
 its lists; the others are held against the leader, and confirmed links make components.  Then, in
-lists whose classes still lie in several components, the classes outside the largest are held
-against all of other components.  Two classes of one component need no further link, so the components
-are those of all confirmed pairs.  Collisions are counted on the signatures before the texts of a
-pair are fetched; a pair counts as a link if its full sets meet the threshold.
+lists whose classes still lie in several components, classes of different ones are paired by their
+rarest shingles, with a bound on what two sets can share that leaves few of them.  Two classes of one
+component need no further link, so the components are those of all confirmed pairs.  Collisions are
+counted on the signatures before the texts of a leader's pair are fetched; a pair counts as a link if its
+full sets meet the threshold.
 
 A pair of likeness 0.85 or more misses the bar of 40 of 64 coordinates in about one of a million cases.
 
@@ -205,7 +206,8 @@ def near_duplicates(
     links = stage(_linked(first, texts, k, percent), "near-links")
     comps = stage(components(links), "near-components")
 
-    rest = stage(_agreeing(_across(posted, leaders, comps).join(first, ["a", "b"], "left_anti"), classes, least), "near-rest")
+    open_ = stage(_open(posted, leaders, comps), "near-open")
+    rest = stage(_across(open_, texts, k, percent), "near-rest")
     more = stage(_linked(rest, texts, k, percent), "near-links")
     if more.limit(1).count():
         comps = components(links.union(more))
@@ -229,23 +231,52 @@ def _texts(df: DataFrame, doc_id: str, text: str, classes: DataFrame, posted: Da
     return stage(rows.join(heads, "head").select("cls", "text").dropDuplicates(["cls"]), "near-texts")
 
 
-def _across(posted: DataFrame, leaders: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of one list in different components, one of them outside the list's largest component."""
+def _open(posted: DataFrame, leaders: DataFrame, comps: DataFrame) -> DataFrame:
+    """(cls, comp) of the classes in lists whose classes lie in several components."""
     labelled = (
         posted.join(leaders.select("key"), "key", "left_semi")
         .join(comps, "cls", "left")
         .select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
     )
-    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    heavy = (
-        sizes.groupBy("key")
-        .agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"))
-        .where("comps > 1")
-        .select("key", F.col("top.comp").alias("heavy"))
+    several = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return labelled.join(several, "key", "left_semi").select("cls", "comp").distinct()
+
+
+def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of open classes in different components that the counts of their rarest shingles don't rule out.
+
+    The shingles of a class are ordered by how many open classes have them; two sets that meet the
+    threshold share one among the first few of each, and what stands behind it bounds what they
+    can share at most.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_sets(batch["text"], k))
+            if found:
+                sizes = np.array([len(x) for x in found])
+                cls = np.repeat(batch["cls"].to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cls), pa.array(np.concatenate(found).view(np.int64))], ["cls", "shingle"]
+                )
+
+    rows = stage(texts.join(open_, "cls", "left_semi").mapInArrow(explode, "cls long, shingle long"), "near-shingles")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = rows.groupBy("cls").agg(F.count("*").alias("size")).join(open_, "cls")
+    held = rows.join(common, "shingle").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    single = F.col("size") - F.size("held")  # shingles no other class has come first
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    posts = (
+        held.join(sizes, "cls")
+        .select("cls", "comp", "size", single.alias("single"), F.slice("held", F.lit(1), F.greatest(first - single, F.lit(0)).cast("int")).alias("held"))
+        .select("cls", "comp", "size", "single", F.posexplode("held").alias("at", "item"))
+        .select(F.col("item.shingle").alias("shingle"), "cls", "comp", "size", (F.col("size") - F.col("single") - F.col("at")).alias("left"))
     )
-    members = stage(labelled.join(heavy, "key"), "near-open-lists")
-    light = members.where("comp <> heavy").select("key", F.col("cls").alias("x"), F.col("comp").alias("x_comp"))
-    pairs = light.join(members, "key").where(
-        (F.col("x_comp") != F.col("comp")) & ((F.col("comp") == F.col("heavy")) | (F.col("x") < F.col("cls")))
+    posts = stage(posts, "near-shingle-posts")
+    x, y = posts.alias("x"), posts.alias("y")
+    smaller = (F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.cls") < F.col("x.cls")))
+    near = (F.col("y.size") * 100 >= F.col("x.size") * percent) & (
+        F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
     )
-    return pairs.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
+    pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.comp") != F.col("y.comp")) & smaller & near)
+    return pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
