@@ -19,7 +19,7 @@ Ranks over all suffixes are not built: they take several times the input on disk
 is not needed to know which strings are repeated.
 
 Texts are UTF-8 bytes; null is empty.  Repeated rows are copies of one another, so all of their
-strings of that length go.  Rows are told apart by id and digest; null ids are allowed.
+strings of that length go.  Null ids are allowed.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.anchors import anchors
@@ -56,12 +56,19 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def _tag(text: bytes) -> int:
-    return int.from_bytes(hashlib.sha256(text).digest()[:8], "little", signed=True)
+def _spot(place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Place and range of offsets in one number."""
+    return (place << 32) | (lo << 16) | hi
 
 
-def _row_key(doc_id: Column) -> Column:
-    return F.coalesce(F.xxhash64(doc_id), F.lit(0))
+def _unspot(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return spot >> 32, (spot >> 16) & 0xFFFF, spot & 0xFFFF
+
+
+def _signature(core: np.ndarray, whole: np.ndarray, before: np.ndarray, after: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of a bucket and of a stretch, from the hashes of their bytes and the shape."""
+    shape = scrambled((lo << 16 | hi).astype(_U))
+    return scrambled(core + shape), scrambled(whole + (before << 20).astype(_U) + after.astype(_U) + shape)
 
 
 def _scan(rows: DataFrame, length: int, q: int) -> DataFrame:
@@ -75,87 +82,99 @@ def _scan(rows: DataFrame, length: int, q: int) -> DataFrame:
                 [
                     batch["doc_id"],
                     batch["rk"],
-                    pa.array([_tag(t) for t in texts], pa.int64()),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
                     _lists([h.view(np.int64) for _, h in found], pa.int64()),
                     _lists([p.astype(np.int32) for p, _ in found], pa.int32()),
                 ],
-                ["doc_id", "rk", "tag", "n_bytes", "sha256", "keys", "places"],
+                ["doc_id", "rk", "n_bytes", "sha256", "keys", "places"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        scan, f"doc_id {kind}, rk long, tag long, n_bytes long, sha256 string, keys array<long>, places array<int>"
+        scan, f"doc_id {kind}, rk long, n_bytes long, sha256 string, keys array<long>, places array<int>"
     )
 
 
-def _stretches(texts: DataFrame, length: int) -> DataFrame:
-    """(bucket, stretch, rk, tag, place, lo, hi, start, end) for each place and range of a text.
+def _stretches(texts: DataFrame, length: int, q: int) -> DataFrame:
+    """(bucket, stretch, rk, spot) for each place of a text.
 
-    ``lo..hi`` are the offsets of the place in the strings that are looked at.  ``bucket`` is the hash of
-    the core that all of them share, ``stretch`` that of the bytes from ``start`` to ``end`` that they span.
+    ``bucket`` is the hash of the core that all strings around the place share, ``stretch`` that of all the
+    bytes that they span.
     """
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(9)]
-            for text, rk, asked in zip(_raw(batch["text"]), batch["rk"].to_pylist(), batch["asked"]):
-                flat = asked.values
-                place, lo, hi = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "lo", "hi"))
-                n = len(text)
-                start, end = place - np.minimum(place, hi), np.minimum(n, place + length - lo)
-                core, core_end = place - lo, place + length - hi
-                fits = (core >= 0) & (core_end <= n) & (end - start >= length)
-                place, lo, hi, start, end, core, core_end = (x[fits] for x in (place, lo, hi, start, end, core, core_end))
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for text, rk, places in zip(_raw(batch["text"]), batch["rk"].to_pylist(), batch["places"]):
+                place, n = places.values.to_numpy().astype(np.int64), len(text)
+                lo, hi = np.zeros(len(place), np.int64), np.full(len(place), length - q)
+                start, end = place - np.minimum(place, hi), np.minimum(n, place + length)
+                fits = (place + q <= n) & (end - start >= length)
+                place, lo, hi, start, end = (x[fits] for x in (place, lo, hi, start, end))
                 if not len(place):
                     continue
                 up, down = powers(n + 1)
                 sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTES[np.frombuffer(text, np.uint8)] * up[:n])])
-
-                def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                    return scrambled((sums[b] - sums[a]) * down[a])
-
-                shape = scrambled(lo.astype(_U) * _U(1 << 20) + hi.astype(_U))
-                bucket = scrambled(hashed(core, core_end) + shape)
-                whole = scrambled(hashed(start, end) + (place - start).astype(_U) * _U(1 << 20) + (end - place).astype(_U) + shape)
-                tag = np.full(len(place), _tag(text), np.int64)
-                for held, x in zip(out, (bucket, whole, np.full(len(place), rk, np.int64), tag, place, lo, hi, start, end)):
+                core, whole = (scrambled((sums[y] - sums[x]) * down[x]) for x, y in ((place, place + q), (start, end)))
+                bucket, key = _signature(core, whole, place - start, end - place, lo, hi)
+                for held, x in zip(out, (bucket.view(np.int64), key.view(np.int64), np.full(len(place), rk, np.int64), _spot(place, lo, hi))):
                     held.append(x)
             if out[0]:
-                cols = [np.concatenate(x) for x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(x) for x in cols[:2]] + [pa.array(x, pa.int64()) for x in cols[2:4]] + [pa.array(x, pa.int32()) for x in cols[4:]],
-                    ["bucket", "stretch", "rk", "tag", "place", "lo", "hi", "start", "end"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["bucket", "stretch", "rk", "spot"])
 
-    return texts.select("rk", "text", "asked").mapInArrow(
-        stretch, "bucket long, stretch long, rk long, tag long, place int, lo int, hi int, start int, end int"
-    )
+    return texts.select("rk", "text", "places").mapInArrow(stretch, "bucket long, stretch long, rk long, spot long")
 
 
 def _with_bytes(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of asked stretches: (bucket, rk, tag, place, start, hi, lo, single, bytes)."""
+    """The asked stretches with their bytes: (bucket, rk, spot, single, members, bytes)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("bucket", "tag", "place", "lo", "hi", "single")
+        names = ("bucket", "spot", "single", "members")
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(6)]
             for text, rk, asked in zip(_raw(batch["text"]), batch["rk"].to_pylist(), batch["asked"]):
-                tag = _tag(text)
-                for bucket, of, place, lo, hi, single in zip(*(asked.values.field(c).to_pylist() for c in names)):
-                    if of != tag:
-                        continue
-                    start = place - min(place, hi)
-                    for held, x in zip(cols, (bucket, rk, tag, place, lo, hi, single, text[start : place + length - lo])):
+                for bucket, spot, single, members in zip(*(asked.values.field(c).to_pylist() for c in names)):
+                    place, lo, hi = spot >> 32, (spot >> 16) & 0xFFFF, spot & 0xFFFF
+                    for held, x in zip(cols, (bucket, rk, spot, single, members, text[place - min(place, hi) : place + length - lo])):
                         held.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(cols, kinds)], ["bucket", "rk", "tag", "place", "lo", "hi", "single", "bytes"]
+                [pa.array(x, k) for x, k in zip(cols, kinds)], ["bucket", "rk", "spot", "single", "members", "bytes"]
             )
 
     return texts.select("rk", "text", "asked").mapInArrow(
-        cut, "bucket long, rk long, tag long, place int, lo int, hi int, single boolean, bytes binary"
+        cut, "bucket long, rk long, spot long, single boolean, members long, bytes binary"
+    )
+
+
+def _halves(rows: DataFrame, length: int) -> DataFrame:
+    """Each stretch as two, for the lower and the upper half of its offsets: (bucket, stretch, rk, spot, single, bytes)."""
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for rk, spot, single, raw in zip(*(batch[c].to_pylist() for c in ("rk", "spot", "single", "bytes"))):
+                place, low, high = spot >> 32, (spot >> 16) & 0xFFFF, spot & 0xFFFF
+                at = min(place, high)  # the place in these bytes
+                middle = (low + high) // 2
+                for lo, hi in ((low, middle), (middle + 1, high)):
+                    start, end = at - min(at, hi), min(len(raw), at + length - lo)
+                    if lo > hi or at < lo or at + length - hi > len(raw) or end - start < length:
+                        continue
+                    part = raw[start:end]
+                    core = hashlib.blake2b(raw[at - lo : at + length - hi] + b"%d %d" % (lo, hi), digest_size=8).digest()
+                    whole = hashlib.blake2b(part + b"%d %d %d" % (lo, hi, at - start), digest_size=8).digest()
+                    bucket, key = (int.from_bytes(x, "little", signed=True) for x in (core, whole))
+                    out.append((bucket, key, rk, place << 32 | lo << 16 | hi, single, part))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            cols = zip(*out) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(cols, kinds)], ["bucket", "stretch", "rk", "spot", "single", "bytes"]
+            )
+
+    return rows.select("rk", "spot", "single", "bytes").mapInArrow(
+        halve, "bucket long, stretch long, rk long, spot long, single boolean, bytes binary"
     )
 
 
@@ -206,7 +225,7 @@ def repeated_starts(bucket: np.ndarray, cuts: list[bytes], left: np.ndarray, lo:
 
 
 def _refined(rows: DataFrame, length: int, q: int) -> DataFrame:
-    """(rk, tag, start, end): stretches of repeated strings, from rows sorted by bucket."""
+    """(rk, start, end): runs of repeated strings, from rows sorted by bucket."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Whole buckets, some thousand rows at a time."""
@@ -240,9 +259,9 @@ def _refined(rows: DataFrame, length: int, q: int) -> DataFrame:
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in groups(batches):
             for part in pieces(whole):
-                bucket, rk, tag, place, lo, hi, single = (part[c].to_numpy() for c in ("bucket", "rk", "tag", "place", "lo", "hi", "single"))
-                left = np.minimum(place, hi).astype(np.int64)
-                found = repeated_starts(bucket, part["bytes"].to_pylist(), left, lo.astype(np.int64), hi.astype(np.int64), length, q)
+                bucket, rk, spot, single = (part[c].to_numpy() for c in ("bucket", "rk", "spot", "single"))
+                place, lo, hi = _unspot(spot)
+                found = repeated_starts(bucket, part["bytes"].to_pylist(), np.minimum(place, hi), lo, hi, length, q)
                 found[~single.astype(bool)] = False
                 # Runs of offsets; larger offsets start earlier.
                 edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -250,16 +269,16 @@ def _refined(rows: DataFrame, length: int, q: int) -> DataFrame:
                 _, high = np.nonzero(edge == -1)
                 start, end = place[row] - (high - 1), place[row] - low + length
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rk[row]), pa.array(tag[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))],
-                    ["rk", "tag", "start", "end"],
+                    [pa.array(rk[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["rk", "start", "end"]
                 )
 
-    return rows.mapInArrow(refine, "rk long, tag long, start int, end int")
+    return rows.select("bucket", "rk", "spot", "single", "bytes").mapInArrow(refine, "rk long, start int, end int")
 
 
 def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, q: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end) for every row."""
-    rows = own(df, doc_id=doc_id, text=text).withColumn("rk", _row_key(F.col("doc_id")))
+    # Rows are told apart by a hash of id and text; exact copies of a row get the same spans.
+    rows = own(df, doc_id=doc_id, text=text).withColumn("rk", F.xxhash64("doc_id", "text"))
     scan = stage(_scan(rows, length, q), "repeat-scan")
     placed = scan.select("rk", F.explode(F.arrays_zip("keys", "places")).alias("at"))
     placed = placed.select("rk", F.col("at.keys").alias("key"), F.col("at.places").alias("place"))
@@ -269,49 +288,56 @@ def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = stage(rows.where("text is not null").select("rk", "text").join(hits, "rk"), "repeat-texts")
     discard(hits)
 
-    def ask(place: Column) -> Column:
-        return F.struct(place.alias("place"), F.lit(0).alias("lo"), F.lit(length - q).alias("hi"))
+    def reach(rows: DataFrame) -> DataFrame:
+        """Where the strings of a spot start and end; an end past the text is cut later."""
+        place, lo, hi = F.shiftright("spot", 32), F.shiftright("spot", 16).bitwiseAND(0xFFFF), F.col("spot").bitwiseAND(0xFFFF)
+        return rows.select("rk", (place - F.least(place, hi)).cast("int").alias("start"), (place + length - lo).cast("int").alias("end"))
 
-    asking = texts.select("rk", "text", F.transform("places", ask).alias("asked"))
-    spans: list[DataFrame] = []
-    while True:
-        stretches = stage(_stretches(asking, length), "repeat-stretches")
-        alike = stretches.groupBy("bucket", "stretch").agg(
-            F.count("*").alias("n"), F.min(F.struct("rk", "tag", "place", "lo", "hi")).alias("one")
-        )
-        alike = stage(alike, "repeat-alike")
-        settled = stretches.join(alike.where("n > 1"), ["bucket", "stretch"], "left_semi").select("rk", "tag", "start", "end")
+    def opened(alike: DataFrame) -> DataFrame:
         members = alike.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-        open_ = alike.join(members, "bucket").select("bucket", "members", (F.col("n") == 1).alias("single"), "one.*")
-        item = F.struct("bucket", "tag", "place", "lo", "hi", "single")
-        small = open_.where(F.col("members") <= bucket_rows).groupBy("rk").agg(F.collect_list(item).alias("asked"))
-        cut = _with_bytes(texts.select("rk", "text").join(small, "rk"), length)
-        # A bucket's rows meet in one task; there are at most bucket_rows of them.
-        refined = _refined(cut.repartition("bucket").sortWithinPartitions("bucket"), length, q)
-        spans.append(stage(settled.union(refined), "repeat-spans"))
-        hot = open_.where(F.col("members") > bucket_rows)
-        more = bool(hot.limit(1).count())
-        if more:
-            middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-            halves = F.array(
-                F.struct("place", "lo", middle.alias("hi")), F.struct("place", (middle + 1).alias("lo"), "hi")
-            )
-            wanted = hot.groupBy("rk").agg(F.flatten(F.collect_list(halves)).alias("asked"))
-            wanted = stage(wanted, "repeat-hot")
-            asking = texts.select("rk", "text").join(wanted, "rk")
-        discard(stretches, alike)
-        if not more:
-            break
+        return alike.join(members, "bucket").withColumn("single", F.col("n") == 1)
 
+    def refined(cut: DataFrame) -> DataFrame:
+        # A bucket's rows meet in one task; there are at most bucket_rows of them.
+        small = cut.where(F.col("members") <= bucket_rows)
+        return _refined(small.repartition("bucket").sortWithinPartitions("bucket"), length, q)
+
+    one = F.min(F.struct("rk", "spot")).alias("one")
+    stretches = stage(_stretches(texts, length, q), "repeat-stretches")
+    alike = stretches.groupBy("stretch").agg(F.first("bucket").alias("bucket"), F.count("*").alias("n"), one)
+    alike = stage(alike, "repeat-alike")
+    spans = [stage(reach(stretches.join(alike.where("n > 1"), "stretch", "left_semi")), "repeat-settled")]
+    discard(stretches)
+    asked = opened(alike).select("one.rk", F.struct("bucket", "one.spot", "single", "members").alias("item"))
+    asked = stage(asked.groupBy("rk").agg(F.collect_list("item").alias("asked"), F.max("item.members").alias("most")), "repeat-asked")
+    discard(alike)
+    cut = _with_bytes(texts.select("rk", "text").join(asked, "rk"), length)
+    hot = asked.where(F.col("most") > bucket_rows).limit(1).count() > 0
+    if hot:  # read twice, by the refinement and by the split
+        cut = stage(cut, "repeat-cut")
+    spans.append(stage(refined(cut), "repeat-refined"))
+    discard(asked)
+    while hot:
+        halves = stage(_halves(cut.where(F.col("members") > bucket_rows), length), "repeat-halves")
+        alike = halves.groupBy("stretch").agg(
+            F.first("bucket").alias("bucket"), F.count("*").alias("n"), one, F.first("bytes").alias("bytes")
+        )
+        discard(cut)
+        cut = stage(opened(alike).select("bucket", "one.rk", "one.spot", "single", "members", "bytes"), "repeat-cut")
+        several = alike.where("n > 1").select("stretch")
+        spans.append(stage(reach(halves.where("single").join(several, "stretch", "left_semi")), "repeat-settled"))
+        # A representative that was settled in an earlier round is a partner only.
+        spans.append(stage(refined(cut), "repeat-refined"))
+        hot = cut.where(F.col("members") > bucket_rows).limit(1).count() > 0
+        discard(halves)
     found = spans[0]
     for part in spans[1:]:
         found = found.union(part)
-    found = found.groupBy("rk", "tag").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
-    cuts = texts.select("rk", "text").join(found, "rk")
-    cuts = _kept(cuts).dropDuplicates(["rk", "tag"])
+    found = found.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
+    cuts = _kept(texts.select("rk", "text").join(found, "rk")).dropDuplicates(["rk"])
     return (
-        scan.select("doc_id", "rk", "tag", "n_bytes", "sha256")
-        .join(cuts, ["rk", "tag"], "left")
+        scan.select("doc_id", "rk", "n_bytes", "sha256")
+        .join(cuts, "rk", "left")
         .select(
             "doc_id",
             "n_bytes",
@@ -344,24 +370,22 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _kept(rows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for text, rk, tag, parts in zip(_raw(batch["text"]), batch["rk"].to_pylist(), batch["tag"].to_pylist(), batch["parts"]):
-                if _tag(text) != tag:
-                    continue
+            out: list[list] = [[] for _ in range(5)]
+            for text, rk, parts in zip(_raw(batch["text"]), batch["rk"].to_pylist(), batch["parts"]):
                 start, end = (parts.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
-                spans = list(zip(*(x.tolist() for x in merged_spans(start, end))))
+                spans = list(zip(*(x.tolist() for x in merged_spans(start, np.minimum(end, len(text))))))
                 digest = hashlib.sha256(without(text, spans)).hexdigest()
                 removed = sum(b - a for a, b in spans)
-                for held, x in zip(out, (rk, tag, removed, len(spans), digest, [{"start": a, "end": b} for a, b in spans])):
+                for held, x in zip(out, (rk, removed, len(spans), digest, [{"start": a, "end": b} for a, b in spans])):
                     held.append(x)
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(out, kinds)], ["rk", "tag", "n_removed", "n_spans", "kept_sha256", "spans"]
+                [pa.array(x, k) for x, k in zip(out, kinds)], ["rk", "n_removed", "n_spans", "kept_sha256", "spans"]
             )
 
-    return rows.select("rk", "tag", "text", "parts").mapInArrow(
-        cut, "rk long, tag long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+    return rows.select("rk", "text", "parts").mapInArrow(
+        cut, "rk long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
     )
 
 
