@@ -127,8 +127,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", rows: int = TR
 def word_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores (word, language), letters of each word, and the word at which each text ends."""
     points, letter, starts, ends, stops = _words(texts)
-    if not len(starts):
-        return np.zeros((0, len(model.languages))), np.zeros(0, np.int64), stops
+    if not len(starts) or not model.languages:
+        return np.zeros((len(starts), len(model.languages))), ends - starts, stops
     at = np.flatnonzero(letter)
     three, four = _slots(points, letter)
     each = np.take(model.weights, three[at], axis=0) + np.take(model.weights, four[at], axis=0)

@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -400,10 +401,13 @@ def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how
     joined = df.join(spans, same, "left").drop("_cut_id", "_cut_sha")
 
     @F.pandas_udf("string")
-    def cut(texts, all_spans):  # noqa: ANN001, ANN202
-        return texts.combine(
-            all_spans, lambda t, s: without(t.encode(), [(x["start"], x["end"]) for x in s]).decode("utf-8", "ignore")
+    def cut(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                t if s is None else without(t.encode(), [(x["start"], x["end"]) for x in s]).decode("utf-8", "ignore")
+                for t, s in zip(texts, all_spans)
+            ],
+            dtype=object,
         )
 
-    cut_text = F.when(F.col("_cut").isNotNull(), cut(F.col(text), F.col("_cut"))).otherwise(F.col(text))
-    return joined.withColumn(text, cut_text).drop("_cut").select(*df.columns)
+    return joined.withColumn(text, cut(F.col(text), F.col("_cut"))).select(*df.columns)
