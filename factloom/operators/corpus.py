@@ -10,7 +10,6 @@ from factloom.functions import text as tx
 from factloom.functions.rows import once, unnest
 
 # Order of a fact, node or chunk in the corpus: document, sentence, position inside the sentence.
-ORD_TYPE = "struct<doc_seq:bigint,sent_idx:int,sub:bigint>"
 
 
 def ordinal(doc_seq: Column, sent_idx: Column, sub: Column) -> Column:
@@ -21,7 +20,7 @@ def ordinal(doc_seq: Column, sent_idx: Column, sub: Column) -> Column:
     )
 
 
-def parse_raw(raw_files: DataFrame, max_chars: int | None = fv.CORPUS_MAX_CHARS) -> DataFrame:
+def parse_raw(raw_files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Raw corpus files ``(doc_id, doc_seq, path, raw)`` to documents.
 
     ``max_chars`` is the text limit of the corpus format; ``None`` keeps whole texts.
@@ -120,7 +119,7 @@ def _last_break(window: Column) -> Column:
 def char_chunks(
     documents: DataFrame,
     chunk_chars: int = fv.CHUNK_CHARS,
-    max_chunks: int | None = fv.MAX_CHUNKS_PER_DOC,
+    max_chunks: int | None = None,
 ) -> DataFrame:
     """Cut texts into windows that prefer to end behind a sentence or line.
 

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from factloom import fixed_values as fv
 from factloom.functions import text as tx
 from factloom.functions.rows import once
+from factloom.session import stage
 
-# Up to this many aliases the dictionary travels inside the plan; beyond it linking is a join.
-MAX_INLINE_ALIASES = 2_000
 # Up to this many rows a dictionary side is broadcast; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -177,38 +176,42 @@ def link_by_join(
 ) -> DataFrame:
     """The same for dictionaries of any size: tokens meet alias keys in a join.
 
-    ``df`` needs no key; rows are told apart by their columns other than the text, which must be
-    unique.  The group of a text holds at most its own matches.
+    Rows get a key of their own, so they may repeat and have nulls anywhere.  Only keys and tokens are
+    exploded; a text meets the aliases that its tokens opened once, in its row.
     """
-    ids = [c for c in df.columns if c != text]
-    spark = df.sparkSession
+    row = "_link_row"
+    keyed = stage(df.withColumn(row, F.monotonically_increasing_id()), "link-rows")
     lowered = F.lower(F.col(text))
     tokens = F.array_distinct(F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0)))
     scans = [r[0][1:] for r in dictionary.alias_rows if r[0].startswith("\x01")]
     if scans:
         hits = [F.when(F.contains(lowered, F.lit(k)), F.lit(f"\x01{k}")) for k in set(scans)]
         tokens = F.concat(tokens, F.array_compact(F.array(*hits)))
-    matches = (
-        df.select(*ids, text, F.explode(tokens).alias("key_token"))
-        .join(dictionary.alias_table(spark), "key_token")
-        .where(F.col("whole_token") | F.rlike(F.col(text), F.col("pattern")))
-        .groupBy(*ids, "entity", "type")
-        .agg(F.min("alias_rank").alias("alias_rank"))
-        .groupBy(*ids)
-        .agg(F.array_sort(F.collect_list(F.struct("alias_rank", "entity", "type"))).alias(into))
+    fields = ("alias_rank", "entity", "type", "whole_token", "pattern")
+    opened = (
+        keyed.select(row, F.explode(tokens).alias("key_token"))
+        .join(dictionary.alias_table(df.sparkSession), "key_token")
+        .groupBy(row)
+        .agg(F.collect_set(F.struct(*fields)).alias("_opened"))
     )
-    return df.join(matches, ids, "left").withColumn(
-        into, F.coalesce(into, F.array().cast(LINK_TYPE))
+    fitting = F.filter(
+        F.col("_opened"), lambda a: a["whole_token"] | F.rlike(F.col(text), a["pattern"])
     )
+    slim = F.transform(
+        fitting,
+        lambda a: F.struct(a["alias_rank"].alias("alias_rank"), a["entity"].alias("entity"), a["type"].alias("type")),
+    )
+    links = F.when(F.col("_opened").isNull(), F.array().cast(LINK_TYPE)).otherwise(_first_per_entity(slim))
+    return keyed.join(opened, row, "left").withColumn(into, links).drop(row, "_opened")
 
 
 def with_entities(
-    df: DataFrame, text: str, dictionary: EntityDictionary, into: str = "entities"
+    df: DataFrame, text: str, dictionary: EntityDictionary, into: str = "entities", by_join: bool = False
 ) -> DataFrame:
-    """Add the entities of a text column, choosing the way by the size of the dictionary."""
-    if len(dictionary.alias_rows) <= MAX_INLINE_ALIASES:
-        return once(df, into, link_inline(F.col(text), dictionary))
-    return link_by_join(df, text, dictionary, into)
+    """Add the entities of a text column: in the row, or by join where a plan can't hold the dictionary."""
+    if by_join:
+        return link_by_join(df, text, dictionary, into)
+    return once(df, into, link_inline(F.col(text), dictionary))
 
 
 def resolve_names(

@@ -219,7 +219,6 @@ def entity_mentions(sentences: DataFrame) -> DataFrame:
     )
 
 
-NODE_ADD = ["node", "type", "label", "title", "link", "ord"]
 
 
 def _null(name: str) -> Column:

@@ -119,16 +119,23 @@ def flat_search(
 
 
 def nearest_vectors(
-    queries: DataFrame, items: DataFrame, k: int, max_queries: int = 1_000
+    queries: DataFrame, items: DataFrame, k: int, portion: int = 1_000
 ) -> DataFrame:
     """Exact nearest dense vectors: ``queries (qid, vec)``, ``items (item_id, vec)``.
 
-    Every item meets every query, as in an exact vector store.  The queries travel to the items as
-    one bounded array, so the items are scanned once where they lie; each partition hands on its
-    best ``k`` per query.
+    Every item meets every query, as in an exact vector store.  The queries travel to the items in
+    arrays of about ``portion``, so the items are scanned once per portion where they lie; each
+    partition hands on its best ``k`` per query.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries in one search; search in portions")
+    portions = max(1, -(-queries.count() // portion))
+    found = _nearest(queries, items, k) if portions == 1 else None
+    for i in range(portions if portions > 1 else 0):
+        mine = _nearest(queries.where(F.pmod(F.xxhash64("qid"), F.lit(portions)) == i), items, k)
+        found = mine if found is None else found.unionByName(mine)
+    return found
+
+
+def _nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     listed = queries.agg(F.collect_list(F.struct("qid", "vec")).alias("qs")).scalar()
 
     def add_up(values: Column) -> Column:

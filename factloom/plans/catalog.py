@@ -279,9 +279,10 @@ def query_markers(b: Bed) -> DataFrame:
     )
     marked = once(turns, "m", tx.query_markers(F.col("text")))
     following = marked.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
-    return marked.join(following, ["conv_id", "turn"]).select(
+    # A last turn has none after it and no hits.
+    return marked.join(following, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.array_join(F.array_sort("m"), "|").alias("markers"),
-        tx.marker_hits(F.col("m"), F.col("next")).alias("hits"),
+        tx.marker_hits(F.col("m"), F.coalesce("next", F.lit(""))).alias("hits"),
     )
 
 
@@ -448,12 +449,6 @@ def visual_node_scores(b: Bed) -> DataFrame:
     )
 
 
-def visual_core(b: Bed) -> DataFrame:
-    _, edges = visual.visual_core(b.graph, 12, STYLE)
-    rows = [(e["left"], e["right"], float(e["weight"]), e["relations"]) for e in edges]
-    return b.spark.createDataFrame(rows, "left string, right string, weight double, relations string")
-
-
 def edge_export(b: Bed) -> DataFrame:
     return files.triple_rows(b.graph).select(
         "source", "relation", "target", "weight", F.md5("sources").alias("sources_digest"),
@@ -647,7 +642,7 @@ QUERIES: dict[str, Callable[[Bed], DataFrame]] = {
         entity_links_documents, entity_links_sentences, entity_links_by_join, entity_resolution,
         cooccurrence_edges, pattern_facts, graph_edges, edge_sources, graph_nodes, simple_graph,
         simple_graph_with_documents, graph_counts, relation_histogram, star_degrees, star_walk,
-        star_components, semantic_edges, visual_node_scores, visual_core, edge_export,
+        star_components, semantic_edges, visual_node_scores, edge_export,
         triples_round_trip, triple_coercion, malformed_replies, triple_graph_edges,
         triple_graph_nodes, cache_latest, cache_split, work_estimate, tfidf_vocabulary,
         tfidf_vectors, flat_topk, flat_topk_distance, nearest_vectors, evidence_lines, seeds,

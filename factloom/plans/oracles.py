@@ -479,8 +479,8 @@ _FINAL: dict[str, str] = {
     f" UNION ALL SELECT 'p' || page_id, html FROM pages)) WHERE len(n) > 0",
     "metric_and_relation_names": f"SELECT p_partkey, {metric('x || x || x')} AS metric, {relation_name('x')} AS relation, {relation_name('CAST(p_size AS VARCHAR)')} AS size_relation,"
     f" 'RELATED_TO' AS no_relation FROM (SELECT *, {PART_NAME} AS x FROM part)",
-    "query_markers": f"SELECT conv_id, turn, array_to_string(list_sort(m), '|') AS markers, {marker_hits('m', 'nxt')} AS hits FROM (SELECT a.conv_id, a.turn, {markers('a.text')} AS m, b.text AS nxt"
-    f" FROM ({TURN}) a JOIN ({TURN}) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)",
+    "query_markers": f"SELECT conv_id, turn, array_to_string(list_sort(m), '|') AS markers, {marker_hits('m', 'nxt')} AS hits FROM (SELECT a.conv_id, a.turn, {markers('a.text')} AS m, coalesce(b.text, '') AS nxt"
+    f" FROM ({TURN}) a LEFT JOIN ({TURN}) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)",
     "durations": "SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.0f', s) || 's' WHEN s / 60 < 60 THEN printf('%.1f', s / 60) || ' minutes' ELSE printf('%.1f', s / 60 / 60) || ' hours' END AS duration,"
     " CAST(ceil(o_orderkey / 4) AS BIGINT) AS tokens FROM (SELECT *, o_totalprice / 10 + 0.03 AS s FROM orders)",
     "flat_chunks": CHUNK_OUT + "flat",

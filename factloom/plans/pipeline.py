@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from factloom import fixed_values as fv
 from factloom.functions import text as tx
 from factloom.operators import answers, corpus, graph as g, replies, retrieval as r, triples as tr
-from factloom.operators import visual
 from factloom.operators.entities import DEFAULT_DICTIONARY, EntityDictionary
 from factloom.operators.rules import DEFAULT_RULES, RuleSet
 from factloom.session import stage
@@ -41,7 +40,6 @@ class Pipeline:
     chat: replies.Chat | None = None
     judge: replies.Chat | None = None
     refresh_cache: bool = False
-    plot: bool = True
     score_mode: str = "cosine"
     used: list[DataFrame] = field(default_factory=list)
 
@@ -65,7 +63,7 @@ class Pipeline:
         return corpus.char_chunks(
             documents,
             limits.chunk_chars if limits else fv.CHUNK_CHARS,
-            limits.max_chunks_per_doc if limits else fv.MAX_CHUNKS_PER_DOC,
+            limits.max_chunks_per_doc if limits else None,
         )
 
     @property
@@ -103,11 +101,6 @@ class Pipeline:
         rows = files.read_triples(self.spark, f"{self.output}/triples.csv")
         return files.graph_from_triple_rows(rows, self.dictionary).staged()
 
-    def draw(self, graph: g.Graph) -> None:
-        nodes, edges = visual.visual_core(graph)
-        files.write_graphml(self.spark, nodes, edges, f"{self.output}/knowledge_graph.graphml")
-        log.info("graph core: %d nodes, %d edges", len(nodes), len(edges))
-
     # --- answering -----------------------------------------------------------------------------------
 
     def search(
@@ -203,8 +196,6 @@ class Pipeline:
             log.info("chunks to extract: %d, about %s", estimate["uncached_chunks"], shown)
         graph = self.graph(documents)
         files.write_triples(graph, f"{self.output}/triples.csv")
-        if self.plot:
-            self.draw(graph)
         results = stage(self.benchmark(questions, graph, documents), "benchmark")
         files.write_results(results, f"{self.output}/benchmark_results.csv")
         self.write_metadata(documents, graph, n_documents, n_questions, estimate, started)

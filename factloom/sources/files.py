@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from xml.etree import ElementTree as ET
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +51,10 @@ def triple_rows(graph: g.Graph, sources_per_cell: int = SOURCES_PER_CELL) -> Dat
         .groupBy(*g.EDGE_KEY, "portion")
         .agg(F.array_join(F.array_sort(F.collect_list("doc_id")), "|").alias("sources"))
     )
-    cells = graph.edges.join(portions, g.EDGE_KEY, "left")
-    first = F.coalesce("portion", F.lit(0)) == 0
+    leading = portions.groupBy(*g.EDGE_KEY).agg(F.min("portion").alias("first_portion"))
+    cells = graph.edges.join(portions, g.EDGE_KEY, "left").join(leading, g.EDGE_KEY, "left")
+    # The first portion that has an id carries the weight; a hash may leave any of them empty.
+    first = F.coalesce(F.col("portion") == F.col("first_portion"), F.lit(True))
     return cells.select(
         "source",
         "relation",
@@ -205,35 +205,3 @@ def write_table_of_noise(doc_ids: DataFrame, path: str) -> None:
 
 def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
-
-
-def write_graphml(spark: SparkSession, nodes: list, edges: list, path: str) -> None:
-    """The core of the graph, at most a screenful, as GraphML; rows as ``operators.visual`` gives."""
-    ns = "http://graphml.graphdrawing.org/xmlns"
-    ET.register_namespace("", ns)
-    root = ET.Element(f"{{{ns}}}graphml")
-    keys = [
-        ("d0", "node", "type", "string"),
-        ("d1", "node", "label", "string"),
-        ("d2", "node", "mentions", "long"),
-        ("d3", "edge", "weight", "double"),
-        ("d4", "edge", "relations", "string"),
-        ("d5", "edge", "sources", "string"),
-    ]
-    for key, where, name, kind in reversed(keys):
-        ET.SubElement(
-            root,
-            f"{{{ns}}}key",
-            {"id": key, "for": where, "attr.name": name, "attr.type": kind},
-        )
-    body = ET.SubElement(root, f"{{{ns}}}graph", edgedefault="undirected")
-    for node in nodes:
-        item = ET.SubElement(body, f"{{{ns}}}node", id=node["node"])
-        for key, _, name, _ in keys[:3]:
-            ET.SubElement(item, f"{{{ns}}}data", key=key).text = str(node[name])
-    for edge in edges:
-        item = ET.SubElement(body, f"{{{ns}}}edge", source=edge["left"], target=edge["right"])
-        for key, _, name, _ in keys[3:]:
-            ET.SubElement(item, f"{{{ns}}}data", key=key).text = str(edge[name])
-    text = ET.tostring(root, encoding="unicode", xml_declaration=True)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

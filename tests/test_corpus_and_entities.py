@@ -76,6 +76,9 @@ def test_linking_against_brute_force(spark):
     want = {i: find(d, t) for i, t in enumerate(texts)}
     inline = en.with_entities(df, "t", d).collect()
     assert {r["i"]: [e["entity"] for e in r["entities"]] for r in inline} == want
+    odd = spark.createDataFrame([(None, "Tesla"), (1, "BYD"), (1, "Tesla"), (1, None)], "i int, t string")
+    ways = [sorted((str(r["t"]), [e["entity"] for e in r["entities"] or []]) for r in en.with_entities(odd, "t", d, by_join=way).collect()) for way in (False, True)]
+    assert ways[0] == ways[1]
     joined = en.link_by_join(df, "t", d).collect()
     assert {r["i"]: [e["entity"] for e in r["entities"]] for r in joined} == want
 
@@ -106,5 +109,5 @@ def test_corpus_files(spark, tmp_path):
 def test_corpus_limit(spark):
     raw = spark.createDataFrame([("doc_1", 1, "p", "Full Content:" + "ab " * 40_000)], "doc_id string, doc_seq bigint, path string, raw string")
     size = lambda **kw: corpus.parse_raw(raw, **kw).select(F.length("text")).first()[0]
-    assert size() == fv.CORPUS_MAX_CHARS
-    assert size(max_chars=None) == 119_999
+    assert size(max_chars=fv.CORPUS_MAX_CHARS) == fv.CORPUS_MAX_CHARS
+    assert size() == 119_999

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from factloom.operators import entities as en, graph as g, rules as ru, triples as tr, visual
+from factloom.operators import entities as en, graph as g, rules as ru, triples as tr
 from factloom.sources import files
 
 FACT = (
@@ -172,21 +172,3 @@ def test_cache(spark, tmp_path):
         files.append_cache(spark.sql(f"select '{key}' as key, from_json('{triples}', '{tr.TRIPLES}') as triples"), path)
     got = {r["key"]: len(r["triples"]) for r in files.read_cache(spark, path).collect()}
     assert got == {"k1": 1, "k2": 1}
-
-
-def test_visual_core_limits(spark):
-    rows = [("Tesla", "LINKS", f"n{i:02d}", 3.0 + i, "e", "doc_1") for i in range(30)]
-    rows += [("n29", "LINKS", f"m{i:02d}", 1.0, "e", "doc_1") for i in range(5)]
-    folded = g.fold_edges(facts(spark, rows))
-    names = sorted({n for r in rows for n in (r[0], r[2])})
-    nodes = spark.createDataFrame(
-        [(n, "Company" if n == "Tesla" else "Entity", n, 0, (-1, -1, i)) for i, n in enumerate(names)],
-        "node string, type string, label string, mentions bigint, first_ord struct<doc_seq:bigint,sent_idx:int,sub:bigint>",
-    )
-    sources = g.source_rows(facts(spark, rows))
-    drawn, edges = visual.visual_core(g.Graph(nodes, folded, sources), max_nodes=15)
-    # The focus may take twelve edges, its best neighbour goes on from there.
-    assert len(drawn) == 15 and drawn[0]["node"] in names
-    assert sum("Tesla" in (e["left"], e["right"]) for e in edges) == 12
-    assert all(e["sources"] == "doc_1" for e in edges)
-    assert visual.label_lines("metric:A very long label of a node") == "A very\nlong label\no..."
