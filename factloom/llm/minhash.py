@@ -62,7 +62,7 @@ def signature(hashes: np.ndarray, coordinates: int) -> np.ndarray:
 
 
 def digests(df: DataFrame, doc_id: str, text: str, k: int, coordinates: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set) and sig (the signature) of every row."""
+    """doc_id, text_key (hash of the text), n_shingles, set_key (digest of the set) and sig (the signature) of every row."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,13 +72,13 @@ def digests(df: DataFrame, doc_id: str, text: str, k: int, coordinates: int) ->
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sigs.append(signature(found, coordinates).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "sig"],
+                [batch["doc_id"], batch["text_key"], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "set_key", "sig"],
             )
 
-    rows = own(df, doc_id=doc_id, text=text)
+    rows = own(df, doc_id=doc_id, text=text).withColumn("text_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"doc_id {kind}, n_shingles long, set_key binary, sig binary")
+    return rows.mapInArrow(digest, f"doc_id {kind}, text_key long, n_shingles long, set_key binary, sig binary")
 
 
 def _exploded(classes: DataFrame, coordinates: int) -> DataFrame:
@@ -187,10 +187,12 @@ def near_duplicates(
     coordinates: int = COORDINATES,
     least: int = LEAST,
 ) -> DataFrame:
-    """doc_id, n_shingles, set_key, component_id and kept for every row."""
+    """doc_id, text_key, n_shingles, set_key, comp (number of the component), component_id and kept for every row."""
     docs = stage(digests(df, doc_id, text, k, coordinates), "near-digests")
     found = docs.where("set_key is not null")
-    classes = found.groupBy("set_key").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig"))
+    classes = found.groupBy("set_key").agg(
+        F.min("doc_id").alias("head"), F.max(F.struct("doc_id", "text_key")).alias("shown"), F.first("sig").alias("sig")
+    )
     classes = stage(classes.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
     posted = stage(postings(classes, coordinates, least), "near-postings")
 
@@ -214,21 +216,42 @@ def near_duplicates(
 
     heads = classes.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least_ids = heads.groupBy("comp").agg(F.min("head").alias("component_id"))
-    named = heads.join(least_ids, "comp").select("set_key", "component_id")
+    named = heads.join(least_ids, "comp").select("set_key", "comp", "component_id")
     result = docs.drop("sig").join(named, "set_key", "left")
     # Without shingles a row stands for itself.
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
     return result.select(
-        "doc_id", "n_shingles", "set_key", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "text_key", "n_shingles", "set_key", "comp", component.alias("component_id"), kept.alias("kept")
     )
 
 
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """The rows of ``df`` less all but one of each component: that of the smallest id.
+
+    Where ids repeat or are null, the hash of the text decides among the rows of the smallest id.
+    Rows without shingles stay, equal rows once.
+    """
+    found = near_duplicates(df, doc_id, text, **how).where("kept").select("comp", F.struct("doc_id", "text_key").alias("row"))
+    linked = found.where("comp is not null").groupBy("comp").agg(F.min("row").alias("row")).select("row")
+    chosen = linked.union(found.where("comp is null").select("row").distinct())
+    chosen = chosen.select(F.col("row.doc_id").alias("_near_id"), F.col("row.text_key").alias("_near_text"))
+    same = df[doc_id].eqNullSafe(F.col("_near_id")) & (F.xxhash64(df[text]) == F.col("_near_text"))
+    return df.join(chosen, same, "left_semi").dropDuplicates([doc_id, text])
+
+
 def _texts(df: DataFrame, doc_id: str, text: str, classes: DataFrame, posted: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(cls, text) of the classes in lists of two or more: the text of one row of the class."""
+    """(cls, text) of the classes in lists of two or more: the text of one row of the class.
+
+    Ids may repeat or be null, so a row is found by its id and the hash of its text.
+    """
     needed = posted.join(leaders, "key", "left_semi").select("cls").distinct()
-    heads = classes.join(needed, "cls", "left_semi").select("cls", "set_key", "head")
-    rows = own(df, head=doc_id, text=text).where("text is not null")
-    return stage(rows.join(heads, "head").select("cls", "text").dropDuplicates(["cls"]), "near-texts")
+    shown = classes.join(needed, "cls", "left_semi").select(
+        "cls", F.col("shown.doc_id").alias("shown_id"), F.col("shown.text_key").alias("text_key")
+    )
+    rows = own(df, doc_id=doc_id, text=text).where("text is not null").withColumn("text_key", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(shown["shown_id"]) & (rows["text_key"] == shown["text_key"])
+    return stage(rows.join(shown, same).select("cls", "text").dropDuplicates(["cls"]), "near-texts")
 
 
 def _open(posted: DataFrame, leaders: DataFrame, comps: DataFrame) -> DataFrame:

@@ -84,6 +84,20 @@ def test_near_duplicates(odd, empty, spark):
     assert {r.component_id for r in twice.collect()} == {3}
 
 
+def test_near_duplicates_of_unclear_ids(spark):
+    """Links are those of the texts, whether one id has several texts or none; one row of each group stays."""
+    random.seed(8)
+    one, two, other = (" ".join(f"w{random.randrange(10**9)}" for _ in range(150)) for _ in range(3))
+    near_one, near_two = (f"new {t.split(' ', 1)[1]}" for t in (one, two))
+    rows = [(1, one), (1, two), (2, near_one), (None, near_two), (None, other), (None, other + " more"), (7, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(set(brute.components(list(enumerate(t for _, t in rows)))[0].values())) == 5
+    groups = Counter(r.component_id for r in minhash.near_duplicates(df).collect())
+    assert groups == {1: 4, None: 2, 7: 2}
+    kept = {tuple(r) for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert len(kept) == 4 and kept > {(1, one), (1, two), (7, None)}
+
+
 def test_near_duplicates_chain(spark):
     """Links that no leader sees are found by rarest shingles."""
     random.seed(2)
