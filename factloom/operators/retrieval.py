@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom import fixed_values as fv
 from factloom.functions import text as tx
-from factloom.functions.rows import once
+from factloom.functions.rows import beside, once
 from factloom.operators import corpus, graph as g, tfidf
 from factloom.operators.entities import EntityDictionary, with_entities
 from factloom.session import stage
@@ -24,8 +24,9 @@ EDGE_KEY = g.EDGE_KEY
 class ChunkIndex:
     """Chunks, the fitted model and the sparse vectors of the chunks.
 
-    ``chunks`` has ``doc_id, doc_seq, title, chunk_ix, text, text_key, terms`` and ``vectors`` the
-    chunk key with ``vec``; both are staged, so each question reads only the columns it needs.
+    ``chunks`` has ``doc_id, doc_seq, title, chunk_ix, text, text_key`` and ``vectors`` the chunk key
+    with ``vec`` and, for graph-guided retrieval, ``terms`` and ``marks``; both are staged, so each
+    question reads only the columns it needs.
     """
 
     chunks: DataFrame
@@ -35,21 +36,22 @@ class ChunkIndex:
     def query_vectors(self, questions: DataFrame) -> DataFrame:
         return self.model.vectors(questions, "question", ["qid"])
 
-    def similarity(self, questions: DataFrame) -> DataFrame:
-        return tfidf.cosine(self.query_vectors(questions), self.vectors, CHUNK_KEY)
-
-    def chunk_terms(self) -> DataFrame:
-        return self.chunks.select(*CHUNK_KEY, F.explode("terms").alias("term"))
-
 
 def build_index(
-    chunks: DataFrame, name: str, max_features: int, stop_words: Sequence[str] | None = None
+    chunks: DataFrame,
+    name: str,
+    max_features: int,
+    stop_words: Sequence[str] | None = None,
+    guided: bool = False,
 ) -> ChunkIndex:
-    chunks = stage(once(chunks, "terms", tx.term_set(F.col("text"))), f"{name}-chunks")
+    """``guided`` adds the content terms and possible markers of each chunk to its vector."""
+    chunks = stage(chunks, f"{name}-chunks")
     model = tfidf.fit(chunks, "text", max_features, stop_words)
-    return ChunkIndex(
-        chunks, model, stage(model.vectors(chunks, "text", CHUNK_KEY), f"{name}-vectors")
-    )
+    vectors = model.vectors(chunks, "text", [*CHUNK_KEY, "text"] if guided else CHUNK_KEY)
+    if guided:
+        vectors = once(vectors, "terms", tx.term_set(F.col("text")))
+        vectors = once(vectors, "marks", tx.marker_candidates(F.col("text"))).drop("text")
+    return ChunkIndex(chunks, model, stage(vectors, f"{name}-vectors"))
 
 
 def flat_index(documents: DataFrame, stop_words: Sequence[str] | None = None) -> ChunkIndex:
@@ -58,7 +60,7 @@ def flat_index(documents: DataFrame, stop_words: Sequence[str] | None = None) ->
 
 def guided_index(documents: DataFrame, stop_words: Sequence[str] | None = None) -> ChunkIndex:
     return build_index(
-        corpus.guided_chunks(documents), "guided", fv.GUIDED_MAX_FEATURES, stop_words
+        corpus.guided_chunks(documents), "guided", fv.GUIDED_MAX_FEATURES, stop_words, guided=True
     )
 
 
@@ -123,40 +125,23 @@ def nearest_vectors(
 ) -> DataFrame:
     """Exact nearest dense vectors: ``queries (qid, vec)``, ``items (item_id, vec)``.
 
-    Every item meets every query, as in an exact vector store.  The queries travel to the items in
-    arrays of about ``portion``, so the items are scanned once per portion where they lie; each
-    partition hands on its best ``k`` per query.
+    Every item meets every query, as in an exact vector store, beside the item's row (see
+    ``beside``); each partition hands on its best ``k`` per query.  Norms are taken once per vector.
     """
-    portions = max(1, -(-queries.count() // portion))
-    found = _nearest(queries, items, k) if portions == 1 else None
-    for i in range(portions if portions > 1 else 0):
-        mine = _nearest(queries.where(F.pmod(F.xxhash64("qid"), F.lit(portions)) == i), items, k)
-        found = mine if found is None else found.unionByName(mine)
-    return found
-
-
-def _nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    listed = queries.agg(F.collect_list(F.struct("qid", "vec")).alias("qs")).scalar()
-
-    def add_up(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
     def product(a: Column, b: Column) -> Column:
-        return add_up(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+        terms = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
-    pairs = items.select("item_id", "vec", F.explode(listed).alias("q")).select(
-        F.col("q.qid").alias("qid"),
-        "item_id",
-        product(F.col("vec"), F.col("q.vec")).alias("dot"),
-        product(F.col("vec"), F.col("vec")).alias("item_norm"),
-        product(F.col("q.vec"), F.col("q.vec")).alias("query_norm"),
-    )
-    distance = F.col("item_norm") + F.col("query_norm") - 2 * F.col("dot")
-    scored = pairs.select(
-        "qid",
+    def with_norm(df: DataFrame, key: str) -> DataFrame:
+        return once(df.select(key, "vec"), "norm", product(F.col("vec"), F.col("vec")))
+
+    pairs = beside(with_norm(items, "item_id"), with_norm(queries, "qid"), "q", portion)
+    scored = once(pairs, "dot", product(F.col("vec"), F.col("q.vec"))).select(
+        "q.qid",
         "item_id",
-        F.round(F.col("dot") / F.sqrt(F.col("item_norm") * F.col("query_norm")), 9).alias("cosine"),
-        F.round(1 / (1 + distance), 9).alias("score"),
+        F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("q.norm")), 9).alias("cosine"),
+        F.round(1 / (1 + (F.col("norm") + F.col("q.norm") - 2 * F.col("dot"))), 9).alias("score"),
     )
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "item_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -427,34 +412,20 @@ def fact_evidence(facts: DataFrame) -> DataFrame:
 def chunk_signals(questions: DataFrame, index: ChunkIndex) -> DataFrame:
     """Similarity, shared terms and marker hits of every question and chunk that have any.
 
-    Three streams of hits meet in one aggregation, so pairs without a hit are never formed.
+    Taken beside the chunk's row, so nothing is shuffled and pairs without a hit go no further.
     """
-    none = F.lit(0)
-    similar = index.similarity(questions).select(
-        "qid", *CHUNK_KEY, "sim", none.alias("shared"), none.alias("markers")
-    )
-    shared = index.chunk_terms().join(question_terms(questions), "term").select(
-        "qid", *CHUNK_KEY, F.lit(0.0).alias("sim"), F.lit(1).alias("shared"), none.alias("markers")
-    )
-    asked = questions.select(
-        "qid", F.explode(tx.query_markers(F.col("question"))).alias("marker")
-    )
-    present = index.chunks.select(
-        *CHUNK_KEY, F.explode(tx.marker_candidates(F.col("text"))).alias("marker")
-    )
-    marked = present.join(asked, "marker").select(
-        "qid", *CHUNK_KEY, F.lit(0.0).alias("sim"), none.alias("shared"), F.lit(1).alias("markers")
-    )
-    return (
-        similar.unionByName(shared)
-        .unionByName(marked)
-        .groupBy("qid", *CHUNK_KEY)
-        .agg(
-            F.sum("sim").alias("sim"),
-            F.sum("shared").alias("shared"),
-            F.sum("markers").alias("markers"),
-        )
+    asked = once(index.query_vectors(questions), "q_vec", F.col("vec")).drop("vec")
+    texts = once(questions.select("qid", "question"), "q_terms", tx.term_set(F.col("question")))
+    texts = once(texts, "q_marks", tx.query_markers(F.col("question"))).drop("question")
+    weighed = once(index.vectors, "weights", F.map_from_entries("vec")).drop("vec")
+    pairs = beside(weighed, asked.join(texts, "qid"), "q")
+    hits = F.struct(
+        tfidf.similarity(F.col("q.q_vec"), F.col("weights")).alias("sim"),
+        tx.overlap(F.col("q.q_terms"), F.col("terms")).cast("bigint").alias("shared"),
+        tx.overlap(F.col("q.q_marks"), F.col("marks")).cast("bigint").alias("markers"),
     )
+    found = once(pairs, "hits", hits).select("q.qid", *CHUNK_KEY, "hits.*")
+    return found.where("sim > 0 or shared > 0 or markers > 0")
 
 
 def document_relevance(signals: DataFrame) -> DataFrame:
@@ -471,13 +442,13 @@ def document_relevance(signals: DataFrame) -> DataFrame:
 
 def graph_term_hits(top_rows: DataFrame, index: ChunkIndex) -> DataFrame:
     """Terms a chunk shares with the best facts of a question."""
-    graph_terms = top_rows.select("qid", F.explode("row_terms").alias("term")).distinct()
-    return (
-        index.chunk_terms()
-        .join(graph_terms, "term")
-        .groupBy("qid", *CHUNK_KEY)
-        .agg(F.count("*").alias("graph_shared"))
+    graph_terms = top_rows.groupBy("qid").agg(
+        F.array_distinct(F.flatten(F.collect_list("row_terms"))).alias("terms")
     )
+    pairs = beside(index.vectors.select(*CHUNK_KEY, "terms"), graph_terms, "q")
+    shared = tx.overlap(F.col("q.terms"), F.col("terms")).cast("bigint")
+    found = once(pairs, "graph_shared", shared).where("graph_shared > 0")
+    return found.select("q.qid", *CHUNK_KEY, "graph_shared")
 
 
 def guided_chunk_evidence(
@@ -491,28 +462,30 @@ def guided_chunk_evidence(
 ) -> DataFrame:
     """Best supporting chunks per question, repeats of a text once: ``(qid, rank, ...)``.
 
-    Documents without a vote are out, unless the question has no votes at all.
+    Documents without a vote are out, unless the question has no votes at all.  Votes come first, so
+    only pairs of voted documents are summed, where the join has put them.
     """
     zero = F.lit(0)
-    pairs = (
+    hits = (
         signals.withColumn("graph_shared", zero.cast("bigint"))
         .unionByName(
             graph_hits.withColumns(
                 {"sim": F.lit(0.0), "shared": zero.cast("bigint"), "markers": zero.cast("bigint")}
             )
         )
-        .groupBy("qid", *CHUNK_KEY)
-        .agg(*(F.sum(c).alias(c) for c in ("sim", "shared", "markers", "graph_shared")))
-        .where("sim > 0 or shared > 0 or graph_shared >= 2")
     )
+
+    def summed(found: DataFrame) -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in ("sim", "shared", "markers", "graph_shared")]
+        pairs = found.groupBy("qid", *CHUNK_KEY, "votes").agg(*sums)
+        return pairs.where("sim > 0 or shared > 0 or graph_shared >= 2")
+
     asked = seeds.select("qid").distinct()
-    voting = votes.select("qid").distinct()
-    voted = pairs.join(votes, ["qid", "doc_id"]).withColumn("boost", F.lit(2.2))
-    free = (
-        pairs.join(asked.join(voting, "qid", "left_anti"), "qid", "left_semi")
-        .withColumn("votes", F.lit(0).cast("bigint"))
-        .withColumn("boost", F.lit(0.0))
-    )
+    unvoted = asked.join(votes.select("qid").distinct(), "qid", "left_anti")
+    voted = summed(hits.join(votes, ["qid", "doc_id"])).withColumn("boost", F.lit(2.2))
+    free = summed(
+        hits.join(unvoted, "qid", "left_semi").withColumn("votes", zero.cast("bigint"))
+    ).withColumn("boost", F.lit(0.0))
     score = (
         20.0 * F.col("sim")
         + 1.25 * F.col("shared")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.functions.rows import once
+from factloom.functions.rows import beside, once
 
 # Fixed value: tokens are runs of two or more letters, digits or underscores.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -118,18 +118,22 @@ def fit(
     )
 
 
+def similarity(query_vec: Column, weights: Column) -> Column:
+    """Product of a query vector and the ``map<idx, w>`` of an item, rounded to 12 places."""
+    total = F.aggregate(
+        query_vec,
+        F.lit(0.0),
+        lambda acc, t: acc + t["w"] * F.coalesce(weights[t["idx"]], F.lit(0.0)),
+    )
+    return F.round(total, SIM_PLACES)
+
+
 def cosine(queries: DataFrame, items: DataFrame, item_key: Sequence[str]) -> DataFrame:
     """Cosine of every query and item that share a term; pairs without a common term are 0.
 
-    Items stay where they are while the query side is small enough to be sent to them; only the
-    products are shuffled, summed before and after.  The sum is rounded to 12 places so that its
-    order does not show.
+    Scored beside the item's row: nothing is shuffled.
     """
-    item_terms = items.select(*item_key, F.inline("vec"))
-    query_terms = queries.select("qid", F.inline("vec")).withColumnRenamed("w", "qw")
-    return (
-        item_terms.join(query_terms, "idx")
-        .groupBy("qid", *item_key)
-        .agg(F.round(F.sum(F.col("w") * F.col("qw")), SIM_PLACES).alias("sim"))
-        .where("sim > 0")
-    )
+    weighed = once(items.select(*item_key, "vec"), "weights", F.map_from_entries("vec"))
+    pairs = beside(weighed.drop("vec"), queries.select("qid", "vec"), "q")
+    scored = once(pairs, "sim", similarity(F.col("q.vec"), F.col("weights")))
+    return scored.where("sim > 0").select("q.qid", *item_key, "sim")

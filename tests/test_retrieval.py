@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import fixed_values as fv
+from factloom.functions.rows import beside
 from factloom.operators import answers, graph as g, retrieval as r, tfidf
 from factloom.plans import catalog
 from factloom.session import stage
@@ -117,3 +118,28 @@ def test_verdicts_and_judgements(spark):
     assert [tuple(x)[1:] for x in parsed] == [
         (7, 10, "FlatRAG", False, False, "a b"), (0, 0, "Tie", False, True, ""), (0, 0, "Tie", False, False, "")
     ]
+
+
+def test_questions_are_scored_beside_the_chunk(spark):
+    """Nothing but the best k of each partition and question is shuffled, and no signal at all."""
+    rows = [(f"doc_{i}", i, f"T{i}", 0, t, "k") for i, t in enumerate(["alpha beta 2023", "gamma delta", "alpha gamma", "zz"])]
+    chunks = spark.createDataFrame(
+        rows, "doc_id string, doc_seq bigint, title string, chunk_ix int, text string, text_key string"
+    )
+    index = r.build_index(chunks, "beside", 5, [], guided=True)
+    asked = stage(spark.createDataFrame([(1, "alpha 2023"), (2, "unknown")], "qid bigint, question string"), "asked")
+    plan = r.flat_search(asked, index, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "SortMergeJoin" not in plan
+    signals = r.chunk_signals(asked, index)
+    assert "hashpartitioning(qid#" not in signals._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    got = {(x["qid"], x["doc_seq"]): (x["sim"] > 0, x["shared"], x["markers"]) for x in signals.collect()}
+    assert got == {(1, 0): (True, 1, 1), (1, 2): (True, 1, 0)}
+
+
+@pytest.mark.parametrize("portion", [1, 2, 1000])
+def test_beside_meets_every_question_once(spark, portion):
+    items = spark.createDataFrame([(1,), (2,)], "i int")
+    asked = spark.createDataFrame([(q,) for q in [1, 2, 3, None, 3]], "qid bigint")
+    got = Counter((x["i"], x["q"]["qid"]) for x in beside(items, asked, "q", portion).collect())
+    assert got == Counter((i, q) for i in (1, 2) for q in [1, 2, 3, None, 3])
+    assert beside(items, asked.where("false"), "q", portion).count() == 0
