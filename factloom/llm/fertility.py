@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import own
+from factloom.llm.common import own, tidy
 from factloom.llm.scripts import dominant
 from factloom.llm.tokens import BATCH, by_bytes, vocabulary
 from factloom.llm.wordhash import numbers, scrambled
@@ -163,4 +163,4 @@ def judge(df: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: s
     rows = own(df, doc_id=doc_id, text=text)
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string", pa.float64(): "double"}
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{f.name} {names[f.type]}" for f in kinds)]))
+    return rows.mapInArrow(tidy(run), ", ".join([f"doc_id {kind}", *(f"{f.name} {names[f.type]}" for f in kinds)]))

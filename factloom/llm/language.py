@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from factloom.llm.common import own, ship
+from factloom.llm.common import own, ship, tidy
 from factloom.llm.scripts import NAMES, code_points, tables
 
 BITS = 15  # slots per gram length: 2 ** BITS
@@ -111,7 +111,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", rows: int = TR
                 [pa.array([name] * len(slots), pa.string()), pa.array(slots, pa.int64()), pa.array(held[slots])], ["lang", "slot", "n"]
             )
 
-    counted = sample.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.mapInArrow(tidy(count), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     names, slots, n = (counted[c].to_numpy() for c in ("lang", "slot", "n"))
     languages = sorted(set(names.tolist()))
     counts = np.zeros((width + len(NAMES), len(languages)))
@@ -241,7 +241,7 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     rows = own(df, doc_id=doc_id, text=text)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<words:bigint,lang:string>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double, spans array<struct<words:bigint,lang:string>>")
 
 
 def with_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -258,4 +258,4 @@ def with_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
     rows = df.select(*kept)
     added = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added.fields]))
+    return rows.mapInArrow(tidy(run), StructType([*rows.schema.fields, *added.fields]))

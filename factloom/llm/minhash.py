@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import own
+from factloom.llm.common import own, tidy
 from factloom.llm.wordhash import numbers, shingle_set, word_hashes
 from factloom.session import stage
 
@@ -78,7 +78,7 @@ def digests(df: DataFrame, doc_id: str, text: str, k: int, coordinates: int) ->
 
     rows = own(df, doc_id=doc_id, text=text).withColumn("text_key", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(digest, f"doc_id {kind}, text_key long, n_shingles long, set_key binary, sig binary")
+    return rows.mapInArrow(tidy(digest), f"doc_id {kind}, text_key long, n_shingles long, set_key binary, sig binary")
 
 
 def _exploded(classes: DataFrame, coordinates: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     wide = pairs.join(side.select(F.col("cls").alias("a"), F.col("sig").alias("a_sig")), "a").join(
         side.select(F.col("cls").alias("b"), F.col("sig").alias("b_sig")), "b"
     )
-    return wide.select("a", "b", "a_sig", "b_sig").mapInArrow(count, "a long, b long")
+    return wide.select("a", "b", "a_sig", "b_sig").mapInArrow(tidy(count), "a long, b long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     wide = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b").join(
         texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a"
     )
-    return wide.select("a", "b", "a_text", "b_text").mapInArrow(confirm, "a long, b long")
+    return wide.select("a", "b", "a_text", "b_text").mapInArrow(tidy(confirm), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     [pa.array(cls), pa.array(np.concatenate(found).view(np.int64))], ["cls", "shingle"]
                 )
 
-    rows = stage(texts.join(open_, "cls", "left_semi").mapInArrow(explode, "cls long, shingle long"), "near-shingles")
+    rows = stage(texts.join(open_, "cls", "left_semi").mapInArrow(tidy(explode), "cls long, shingle long"), "near-shingles")
     common = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     sizes = rows.groupBy("cls").agg(F.count("*").alias("size")).join(open_, "cls")
     held = rows.join(common, "shingle").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import own
+from factloom.llm.common import own, tidy
 from factloom.llm.tokens import BATCH, by_bytes, encoder, vocabulary
 
 
@@ -170,7 +170,7 @@ def pack_rows(
 
     key_type = to_arrow_type(_parse_datatype_string(kind))
     return df.mapInArrow(
-        pack, f"key {kind}, start long, length long, ids_crc32 long, loss_tokens long, total long, sequence_id long, offset long"
+        tidy(pack), f"key {kind}, start long, length long, ids_crc32 long, loss_tokens long, total long, sequence_id long, offset long"
     )
 
 
@@ -183,7 +183,7 @@ def pack_texts(
         coder = encoder(vocabulary(name))
         keys = iter(batch["doc_id"].to_pylist())
         end = np.array([end_id], np.uint32).tobytes()
-        for portion in by_bytes((t or "" for t in batch["text"].to_pylist()), BATCH):
+        for portion in by_bytes((t.as_py() or "" for t in batch["text"]), BATCH):
             coded = coder.encode_all(portion) if len(portion) > 1 else [b"".join(coder.encode(portion[0]))]
             for ids in coded:
                 yield Example(next(keys), np.frombuffer(ids + end, np.uint32))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.anchors import anchors
-from factloom.llm.common import own
+from factloom.llm.common import own, tidy
 from factloom.llm.wordhash import _BYTES, powers, scrambled
 from factloom.session import discard, stage
 
@@ -93,7 +93,7 @@ def _scan(rows: DataFrame, length: int, q: int) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        scan, f"doc_id {kind}, rk long, n_bytes long, sha256 string, keys array<long>, places array<int>"
+        tidy(scan), f"doc_id {kind}, rk long, n_bytes long, sha256 string, keys array<long>, places array<int>"
     )
 
 
@@ -124,7 +124,7 @@ def _stretches(texts: DataFrame, length: int, q: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["bucket", "stretch", "rk", "spot"])
 
-    return texts.select("rk", "text", "places").mapInArrow(stretch, "bucket long, stretch long, rk long, spot long")
+    return texts.select("rk", "text", "places").mapInArrow(tidy(stretch), "bucket long, stretch long, rk long, spot long")
 
 
 def _with_bytes(texts: DataFrame, length: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _with_bytes(texts: DataFrame, length: int) -> DataFrame:
             )
 
     return texts.select("rk", "text", "asked").mapInArrow(
-        cut, "bucket long, rk long, spot long, single boolean, members long, bytes binary"
+        tidy(cut), "bucket long, rk long, spot long, single boolean, members long, bytes binary"
     )
 
 
@@ -175,7 +175,7 @@ def _halves(rows: DataFrame, length: int) -> DataFrame:
             )
 
     return rows.select("rk", "spot", "single", "bytes").mapInArrow(
-        halve, "bucket long, stretch long, rk long, spot long, single boolean, bytes binary"
+        tidy(halve), "bucket long, stretch long, rk long, spot long, single boolean, bytes binary"
     )
 
 
@@ -273,7 +273,7 @@ def _refined(rows: DataFrame, length: int, q: int) -> DataFrame:
                     [pa.array(rk[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["rk", "start", "end"]
                 )
 
-    return rows.select("bucket", "rk", "spot", "single", "bytes").mapInArrow(refine, "rk long, start int, end int")
+    return rows.select("bucket", "rk", "spot", "single", "bytes").mapInArrow(tidy(refine), "rk long, start int, end int")
 
 
 def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, q: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -386,7 +386,7 @@ def _kept(rows: DataFrame) -> DataFrame:
             )
 
     return rows.select("rk", "text", "parts").mapInArrow(
-        cut, "rk long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
+        tidy(cut), "rk long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
     )
 
 

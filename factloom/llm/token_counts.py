@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import n_bytes, own
+from factloom.llm.common import n_bytes, own, tidy
 from factloom.llm.tokens import BATCH, by_bytes, encoder, vocabulary
 
 
@@ -35,5 +35,5 @@ def count_tokens(df: DataFrame, name: str = "word_bpe_49k.json", limit: int = 20
 
     rows = own(df, doc_id=doc_id, text=text).withColumn("n_bytes", n_bytes(F.col("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(tidy(count), f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

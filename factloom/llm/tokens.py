@@ -13,6 +13,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+from factloom.llm.common import release
+
 REMEMBERED = 400_000  # stretches kept in a worker at most; then the memory starts anew
 BATCH = 1 << 20  # characters of neighbouring texts that are encoded at once
 LONGEST = 256  # longer stretches are encoded each time
@@ -90,8 +92,10 @@ class StretchEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> StretchEncoder:
-    """One encoder per worker and file."""
-    return StretchEncoder(path)
+    """One encoder per worker and file; reading the file takes more memory than is kept."""
+    found = StretchEncoder(path)
+    release()
+    return found
 
 
 def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
