@@ -14,7 +14,8 @@ component need no further link, so the components are those of all confirmed pai
 counted on the signatures before the texts of a leader's pair are fetched; a pair counts as a link if its
 full sets meet the threshold.
 
-A pair of likeness 0.85 or more misses the bar of 40 of 64 coordinates in about one of a million cases.
+The bar follows the threshold: as many coordinates as a pair that just meets it misses in at most ``LOSS``
+of all cases.  Of 64 that is 40 at 0.85 (loss 2.4e-6) and 35 at 0.80 (1.2e-6); pairs more alike lose less.
 
 Joins on hot values are equi-joins without grouping above them, which the adaptive planner splits.
 Null or wordless texts have an empty set, no class and no links.  Equal rows share a class.  Of null
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,19 @@ from factloom.session import stage
 
 SHINGLE = 5
 COORDINATES = 64
-LEAST = 40
-PERCENT = 85
+LOSS = 2.5e-6
+PERCENT = 80  # of stages
+PERCENT_LABELLED = 85  # of the labels of near_duplicates, as op7 has to give them
+
+
+def least_agreeing(percent: int, coordinates: int = COORDINATES, loss: float = LOSS) -> int:
+    """The most coordinates that a pair of likeness ``percent`` fails to agree in with a chance of at most ``loss``."""
+    p, below = percent / 100, 0.0
+    for n in range(coordinates):
+        below += comb(coordinates, n) * p**n * (1 - p) ** (coordinates - n)
+        if below > loss:
+            return max(n, 1)
+    return coordinates
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -183,11 +196,15 @@ def near_duplicates(
     doc_id: str = "doc_id",
     text: str = "text",
     k: int = SHINGLE,
-    percent: int = PERCENT,
+    percent: int = PERCENT_LABELLED,
     coordinates: int = COORDINATES,
-    least: int = LEAST,
+    least: int | None = None,
 ) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_key, comp (number of the component), component_id and kept for every row."""
+    """doc_id, text_key, n_shingles, set_key, comp (number of the component), component_id and kept for every row.
+
+    Without ``least`` it follows from ``percent`` by :func:`least_agreeing`.
+    """
+    least = least_agreeing(percent, coordinates) if least is None else least
     docs = stage(digests(df, doc_id, text, k, coordinates), "near-digests")
     found = docs.where("set_key is not null")
     classes = found.groupBy("set_key").agg(
@@ -226,13 +243,14 @@ def near_duplicates(
     )
 
 
-def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, **how: int) -> DataFrame:
     """The rows of ``df`` less all but one of each component: that of the smallest id.
 
+    Likeness of 0.8 links, less than :func:`near_duplicates` asks for unless told.
     Where ids repeat or are null, the hash of the text decides among the rows of the smallest id.
     Rows without shingles stay, equal rows once.
     """
-    found = near_duplicates(df, doc_id, text, **how).where("kept").select("comp", F.struct("doc_id", "text_key").alias("row"))
+    found = near_duplicates(df, doc_id, text, percent=percent, **how).where("kept").select("comp", F.struct("doc_id", "text_key").alias("row"))
     linked = found.where("comp is not null").groupBy("comp").agg(F.min("row").alias("row")).select("row")
     chosen = linked.union(found.where("comp is null").select("row").distinct())
     chosen = chosen.select(F.col("row.doc_id").alias("_near_id"), F.col("row.text_key").alias("_near_text"))

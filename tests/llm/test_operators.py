@@ -112,6 +112,23 @@ def test_near_duplicates_chain(spark):
     assert {i: r.component_id for i, r in found.items()} == brute.components(docs)[0]
 
 
+def test_near_stage_links_at_80_percent(spark):
+    """Pairs of likeness 0.80 to 0.85 go, those below stay; the bar follows the threshold."""
+    random.seed(6)
+    docs = []
+    for i in range(60):
+        words = [f"w{random.randrange(10**9)}" for _ in range(200)]
+        docs.append((2 * i, " ".join(words)))
+        for at in random.sample(range(10, 190, 6), 4 + (i % 3 == 0)):
+            words[at] = f"u{i}-{at}"
+        docs.append((2 * i + 1, " ".join(words)))
+    comps = brute.components(docs, percent=80)[0]
+    assert len(set(comps.values())) == 80 and len(set(brute.components(docs, percent=85)[0].values())) == 120
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == set(comps.values())
+    assert [minhash.least_agreeing(p) for p in (80, 85)] == [35, 40]
+
+
 @pytest.mark.parametrize("bucket_rows", [3, 8192])
 def test_repeats(spark, bucket_rows):
     random.seed(5)
