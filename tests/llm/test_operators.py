@@ -307,6 +307,23 @@ def test_sketches_merge(spark):
     assert set(got.m) <= set(got.ab) and len(got.ab) - len(got.m) <= 4 and got.c >= 0.5
 
 
+def test_short_excerpts_are_contained(spark):
+    """Excerpts of 5 to 20 words lie wholly in their document, and likeness is that of the full sets."""
+    random.seed(12)
+    rows = []
+    for i in range(200):
+        words = [f"w{random.randrange(10**9)}" for _ in range(random.randint(300, 600))]
+        at, n = random.randrange(250), random.choice([5, 8, 12, 20])
+        rows.append((" ".join(words[at : at + n]), " ".join(words)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    a, b = fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))
+    found = df.select("a", "b", fingerprints.containment(a, b).alias("share"), fingerprints.resemblance(a, b).alias("like")).collect()
+    assert all(r.share == 1.0 for r in found)
+    for r in found:
+        x, y = brute.shingles(r.a), brute.shingles(r.b)
+        assert r.like == pytest.approx(len(x & y) / len(x | y))
+
+
 def test_urls(spark):
     rules = queries.URL_RULES
     urls = ["http://A.example.NET/en/x?q#f", "https://x.example.net/en", "ftp://example.com/de/1", "http://org/fr/", "http://b.org/de/", None, "no scheme", "x://bad.info/p"]
