@@ -160,3 +160,11 @@ def test_json_object(spark):
 )
 def test_durations(spark, seconds, text):
     assert spark.range(1).select(tx.format_duration(F.lit(seconds))).first()[0] == text
+
+
+def test_whole_texts_are_asked_for_by_default():
+    from factloom.sources.chat import ChatSettings
+
+    key = {"OPENAI_API_KEY": "k"}
+    assert ChatSettings("k").max_chunks_per_doc is None and ChatSettings.from_env(key).max_chunks_per_doc is None
+    assert ChatSettings.from_env(key | {"FACTLOOM_MAX_CHUNKS_PER_DOC": "3"}).max_chunks_per_doc == 3
