@@ -43,6 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate once as parquet in the shared folder and read it back.
 
@@ -50,13 +55,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executors, later readers prune columns, and the file sizes give the optimizer real statistics.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read.staged_path = path
     return read
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete what lies under a path of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete stages that no later step reads, and let go of shuffle files nobody refers to.
 
@@ -64,9 +75,7 @@ def discard(*staged: DataFrame) -> None:
     which in a long chain of stages may be after the disks are full.
     """
     for df in staged:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard_path(df.sparkSession, df.staged_path)
     if staged:
         gc.collect()
         staged[0].sparkSession._jvm.System.gc()
