@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import fertility, fingerprints, language, minhash, mixing, packing, sharding, suffix_dedup, token_counts, url_reputation
+from factloom.llm import (
+    conversation_repair,
+    fertility,
+    fill_middle,
+    fingerprints,
+    language,
+    minhash,
+    mixing,
+    packing,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    url_reputation,
+    warc,
+)
 from factloom.llm.common import table
 
 URL_RULES = [
@@ -71,6 +85,19 @@ def op10_fertility_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(*base)
 
 
+def op11_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    chats = table(spark, folder, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(chats), also=chats.select("conv_id"))
+
+
+def op12_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"), least_bytes=0)
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.fill_middle(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_fingerprints,
         op10_fertility_rules,
+        op11_repair_conversations,
+        op12_arc_to_warc,
+        op13_fill_middle,
     )
 }
 
