@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import fixed_values as fv
 from factloom.functions import text as tx
 from factloom.functions.rows import beside, once
-from factloom.operators import corpus, graph as g, tfidf
+from factloom.operators import corpus, graph as g, matching, tfidf
 from factloom.operators.entities import EntityDictionary, with_entities
 from factloom.session import stage
 
@@ -25,8 +27,8 @@ class ChunkIndex:
     """Chunks, the fitted model and the sparse vectors of the chunks.
 
     ``chunks`` has ``doc_id, doc_seq, title, chunk_ix, text, text_key`` and ``vectors`` the chunk key
-    with ``vec`` and, for graph-guided retrieval, ``terms`` and ``marks``; both are staged, so each
-    question reads only the columns it needs.
+    with ``vec`` and, for graph-guided retrieval, ``text_key``, ``terms`` and ``marks``; both are staged, so
+    each question reads only the columns it needs.
     """
 
     chunks: DataFrame
@@ -47,7 +49,7 @@ def build_index(
     """``guided`` adds the content terms and possible markers of each chunk to its vector."""
     chunks = stage(chunks, f"{name}-chunks")
     model = tfidf.fit(chunks, "text", max_features, stop_words)
-    vectors = model.vectors(chunks, "text", [*CHUNK_KEY, "text"] if guided else CHUNK_KEY)
+    vectors = model.vectors(chunks, "text", [*CHUNK_KEY, "text_key", "text"] if guided else CHUNK_KEY)
     if guided:
         vectors = once(vectors, "terms", tx.term_set(F.col("text")))
         vectors = once(vectors, "marks", tx.marker_candidates(F.col("text"))).drop("text")
@@ -80,7 +82,15 @@ def flat_search(
         raise ValueError(f"unknown score mode {score_mode!r}")
     queries = index.query_vectors(questions)
     vectors = index.vectors
-    matched = tfidf.cosine(queries, vectors, CHUNK_KEY)
+
+    def similar(f: matching.Found, _: matching.Portion) -> matching.Found:
+        f.extra["score"] = f.sim()
+        return f.where(f.extra["score"] > 0)
+
+    # Each task hands on its best matches of a question.
+    matched = matching.best(
+        queries, vectors.select(*CHUNK_KEY, "vec"), CHUNK_KEY, ["doc_seq", "chunk_ix"], {"vec": "vec"}, similar, k
+    ).withColumnRenamed("score", "sim")
     # Chunks in corpus order stand for all those without a common term.  By distance, chunks
     # without any vocabulary term are nearer than other strangers, so both kinds are kept.
     empty = F.size("vec") == 0
@@ -335,17 +345,12 @@ def scored_facts(
     )
 
 
-def source_votes(
-    facts: DataFrame, edge_sources: DataFrame, documents: DataFrame | None = None
-) -> DataFrame:
+def source_votes(facts: DataFrame, edge_sources: DataFrame) -> DataFrame:
     """Votes of the facts for the documents behind them: ``(qid, doc_id, votes)``."""
-    known = edge_sources
-    if documents is not None:
-        known = edge_sources.join(documents.select("doc_id"), "doc_id", "left_semi")
     vote = F.greatest(F.lit(1), F.bround("base_score", 0).cast("bigint"))
     return (
         facts.select("qid", *EDGE_KEY, vote.alias("vote"))
-        .join(known, EDGE_KEY)
+        .join(edge_sources, EDGE_KEY)
         .groupBy("qid", "doc_id")
         .agg(F.sum("vote").alias("votes"))
     )
@@ -409,52 +414,80 @@ def fact_evidence(facts: DataFrame) -> DataFrame:
 # --- guided chunks -----------------------------------------------------------------------------------
 
 
+def asked_questions(questions: DataFrame, index: ChunkIndex) -> DataFrame:
+    """``qid`` with the vector, terms and markers of each question, as chunks are held against them."""
+    asked = once(index.query_vectors(questions), "q_vec", F.col("vec")).drop("vec").withColumnRenamed("q_vec", "vec")
+    texts = once(questions.select("qid", "question"), "terms", tx.term_set(F.col("question")))
+    texts = once(texts, "marks", tx.query_markers(F.col("question"))).drop("question")
+    return asked.join(texts, "qid")
+
+
+SIGNALS = {"vec": "vec", "terms": "terms", "marks": "marks"}
+
+
 def chunk_signals(questions: DataFrame, index: ChunkIndex) -> DataFrame:
     """Similarity, shared terms and marker hits of every question and chunk that have any.
 
-    Taken beside the chunk's row, so nothing is shuffled and pairs without a hit go no further.
+    For a look at all of them; searches keep what they need beside the chunk, see ``combine``.
     """
-    asked = once(index.query_vectors(questions), "q_vec", F.col("vec")).drop("vec")
-    texts = once(questions.select("qid", "question"), "q_terms", tx.term_set(F.col("question")))
-    texts = once(texts, "q_marks", tx.query_markers(F.col("question"))).drop("question")
-    weighed = once(index.vectors, "weights", F.map_from_entries("vec")).drop("vec")
-    pairs = beside(weighed, asked.join(texts, "qid"), "q")
-    hits = F.struct(
-        tfidf.similarity(F.col("q.q_vec"), F.col("weights")).alias("sim"),
-        tx.overlap(F.col("q.q_terms"), F.col("terms")).cast("bigint").alias("shared"),
-        tx.overlap(F.col("q.q_marks"), F.col("marks")).cast("bigint").alias("markers"),
-    )
-    found = once(pairs, "hits", hits).select("q.qid", *CHUNK_KEY, "hits.*")
+
+    def values(f: matching.Found) -> dict:
+        counts = {c: f.sums[k].astype("int64") for c, k in (("shared", "terms"), ("markers", "marks"))}
+        return {"sim": f.sim(), **counts}
+
+    asked = asked_questions(questions, index)
+    kinds = {"sim": "double", "shared": "bigint", "markers": "bigint"}
+    found = matching.pairs(asked, index.vectors, CHUNK_KEY, SIGNALS, values, **kinds)
     return found.where("sim > 0 or shared > 0 or markers > 0")
 
 
-def document_relevance(signals: DataFrame) -> DataFrame:
-    """Best chunk score per question and document, at most 10."""
-    score = F.least(
-        F.lit(10.0), 18.0 * F.col("sim") + 0.7 * F.col("shared") + 1.4 * F.col("markers")
-    )
-    return (
-        signals.where("sim > 0")
-        .groupBy("qid", "doc_id")
-        .agg(F.max(score).alias("relevance"))
-    )
+def voted_documents(votes: DataFrame) -> DataFrame:
+    """``(doc_id, voted)``: the questions that have votes for a document, with the votes."""
+    return votes.groupBy("doc_id").agg(F.collect_list(F.struct("qid", "votes")).alias("voted"))
 
 
-def graph_term_hits(top_rows: DataFrame, index: ChunkIndex) -> DataFrame:
-    """Terms a chunk shares with the best facts of a question."""
-    graph_terms = top_rows.groupBy("qid").agg(
-        F.array_distinct(F.flatten(F.collect_list("row_terms"))).alias("terms")
-    )
-    pairs = beside(index.vectors.select(*CHUNK_KEY, "terms"), graph_terms, "q")
-    shared = tx.overlap(F.col("q.terms"), F.col("terms")).cast("bigint")
-    found = once(pairs, "graph_shared", shared).where("graph_shared > 0")
-    return found.select("q.qid", *CHUNK_KEY, "graph_shared")
+def with_votes(found: matching.Found, part: matching.Portion) -> matching.Found:
+    """The pairs whose document the question has votes for; ``extra`` has the votes."""
+    lists, n = found.rows.column("voted"), len(part.qids)
+    row = np.repeat(np.arange(len(lists)), matching.list_sizes(lists))
+    pairs = lists.flatten()
+    question = np.asarray(pc.index_in(pairs.field(0), value_set=part.qids).fill_null(-1))
+    key, votes = row * n + question, np.asarray(pairs.field(1))
+    known = np.flatnonzero(question >= 0)
+    if not len(known):
+        return found.where(np.zeros(len(found.row), bool))
+    known = known[np.argsort(key[known], kind="stable")]
+    wanted = found.row * n + found.question
+    at = np.minimum(np.searchsorted(key[known], wanted), len(known) - 1)
+    hit = key[known][at] == wanted
+    found.extra["votes"] = votes[known][at]
+    return found.where(hit)
+
+
+def document_relevance(asked: DataFrame, index: ChunkIndex, votes: DataFrame | None = None) -> DataFrame:
+    """Best chunk score per question and document, at most 10: ``(qid, doc_id, relevance)``.
+
+    With ``votes`` only documents that the question has votes for are scored.
+    """
+
+    with_vote = votes is not None
+
+    def score(f: matching.Found, part: matching.Portion) -> matching.Found:
+        f = with_votes(f, part) if with_vote else f
+        f = f.where(f.sim() > 0)
+        f.extra["score"] = np.minimum(10.0, 18.0 * f.sim() + 0.7 * f.sums["terms"] + 1.4 * f.sums["marks"])
+        return f
+
+    items = index.vectors.select("doc_id", *SIGNALS.values())
+    if with_vote:
+        items = items.join(voted_documents(votes), "doc_id")
+    return matching.group_best(asked, items, "doc_id", SIGNALS, score).withColumnRenamed("score", "relevance")
 
 
 def guided_chunk_evidence(
+    asked: DataFrame,
     seeds: DataFrame,
-    signals: DataFrame,
-    graph_hits: DataFrame,
+    top_rows: DataFrame,
     votes: DataFrame,
     facts_seen: DataFrame,
     index: ChunkIndex,
@@ -462,54 +495,54 @@ def guided_chunk_evidence(
 ) -> DataFrame:
     """Best supporting chunks per question, repeats of a text once: ``(qid, rank, ...)``.
 
-    Documents without a vote are out, unless the question has no votes at all.  Votes come first, so
-    only pairs of voted documents are summed, where the join has put them.
+    Documents without a vote are out, unless the question has no votes at all.  The votes travel to the
+    chunks of their documents, which are scored there, and each task hands on the best few of a
+    question: ``k``, and as many more as the question has facts with the text of a chunk.
     """
-    zero = F.lit(0)
-    hits = (
-        signals.withColumn("graph_shared", zero.cast("bigint"))
-        .unionByName(
-            graph_hits.withColumns(
-                {"sim": F.lit(0.0), "shared": zero.cast("bigint"), "markers": zero.cast("bigint")}
-            )
+    graph_terms = top_rows.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("row_terms"))).alias("graph_terms"))
+    seen = facts_seen.select("qid", F.col("digest").alias("text_key"))
+    shown = seen.join(index.chunks.select("text_key"), "text_key", "left_semi").groupBy("qid").agg(F.countDistinct("text_key").alias("more"))
+    none = F.array().cast("array<string>")
+    asked = stage(
+        asked.join(seeds.select("qid").distinct(), "qid")
+        .join(graph_terms, "qid", "left")
+        .join(shown, "qid", "left")
+        .join(votes.select("qid", F.lit(True).alias("has_votes")).distinct(), "qid", "left")
+        .withColumns({"graph_terms": F.coalesce("graph_terms", none), "more": F.coalesce("more", F.lit(0))}),
+        "asked-guided",
+    )
+    sources = {**SIGNALS, "graph_terms": "terms"}
+
+    def scored(with_vote: bool) -> Callable[[matching.Found, matching.Portion], matching.Found]:
+        def score(f: matching.Found, part: matching.Portion) -> matching.Found:
+            f = with_votes(f, part) if with_vote else f
+            f = f.where((f.sim() > 0) | (f.sums["terms"] > 0) | (f.sums["graph_terms"] >= 2))
+            own = 20.0 * f.sim() + 1.25 * f.sums["terms"] + 0.25 * f.sums["graph_terms"] + 2.2 * f.sums["marks"]
+            f.extra["score"] = own + 2.2 + np.minimum(2.0, 0.05 * f.extra["votes"]) if with_vote else own
+            return f
+
+        return score
+
+    def top(of: DataFrame, items: DataFrame, with_vote: bool) -> DataFrame:
+        wanted = [*CHUNK_KEY, "text_key", *SIGNALS.values(), *(["voted"] if with_vote else [])]
+        return matching.best(
+            of.drop("has_votes"), items.select(*wanted), [*CHUNK_KEY, "text_key"], ["doc_seq", "chunk_ix"], sources, scored(with_vote), k, "text_key"
         )
-    )
-
-    def summed(found: DataFrame) -> DataFrame:
-        sums = [F.sum(c).alias(c) for c in ("sim", "shared", "markers", "graph_shared")]
-        pairs = found.groupBy("qid", *CHUNK_KEY, "votes").agg(*sums)
-        return pairs.where("sim > 0 or shared > 0 or graph_shared >= 2")
 
-    asked = seeds.select("qid").distinct()
-    unvoted = asked.join(votes.select("qid").distinct(), "qid", "left_anti")
-    voted = summed(hits.join(votes, ["qid", "doc_id"])).withColumn("boost", F.lit(2.2))
-    free = summed(
-        hits.join(unvoted, "qid", "left_semi").withColumn("votes", zero.cast("bigint"))
-    ).withColumn("boost", F.lit(0.0))
-    score = (
-        20.0 * F.col("sim")
-        + 1.25 * F.col("shared")
-        + 0.25 * F.col("graph_shared")
-        + 2.2 * F.col("markers")
-        + F.col("boost")
-        + F.least(F.lit(2.0), 0.05 * F.col("votes"))
-    )
-    scored = voted.unionByName(free).select("qid", *CHUNK_KEY, score.alias("score"))
-    keyed = scored.join(index.chunks.select(*CHUNK_KEY, "text_key"), CHUNK_KEY)
+    known = top(asked.where("has_votes"), index.vectors.join(voted_documents(votes), "doc_id"), True)
+    free = top(asked.where("has_votes is null"), index.vectors, False)
     # One copy per text: the best score, the earliest chunk among equals.
-    copies = keyed.groupBy("qid", "text_key").agg(
+    copies = known.unionByName(free).groupBy("qid", "text_key").agg(
         F.min(F.struct((-F.col("score")).alias("neg"), "doc_seq", "chunk_ix", "doc_id")).alias("c")
     )
-    unseen = copies.join(
-        facts_seen.select("qid", F.col("digest").alias("text_key")), ["qid", "text_key"], "left_anti"
-    )
-    best = Window.partitionBy("qid").orderBy("c.neg", "c.doc_seq", "c.chunk_ix")
-    top = (
-        unseen.withColumn("rank", F.row_number().over(best))
+    unseen = copies.join(seen, ["qid", "text_key"], "left_anti")
+    by_score = Window.partitionBy("qid").orderBy("c.neg", "c.doc_seq", "c.chunk_ix")
+    picked = (
+        unseen.withColumn("rank", F.row_number().over(by_score))
         .where(F.col("rank") <= k)
         .select("qid", "rank", (-F.col("c.neg")).alias("score"), "c.doc_id", "c.doc_seq", "c.chunk_ix")
     )
-    return top.join(index.chunks, CHUNK_KEY).select(
+    return picked.join(index.chunks, CHUNK_KEY).select(
         "qid",
         "rank",
         F.col("doc_id").alias("source_id"),
@@ -548,21 +581,25 @@ def graph_search(
     """
     seeds = stage(primary_seeds(questions, graph, dictionary, generic, not_specific), "seeds")
     facts = stage(scored_facts(questions, seeds, graph, generic), "scored-facts")
-    signals = stage(chunk_signals(questions, index), "chunk-signals")
-    return combine(seeds, facts, signals, graph, index, top_k, documents)
+    return combine(questions, seeds, facts, graph, index, top_k, documents)
 
 
 def combine(
+    questions: DataFrame,
     seeds: DataFrame,
     facts: DataFrame,
-    signals: DataFrame,
     graph: g.Graph,
     index: ChunkIndex,
     top_k: int = 10,
     documents: DataFrame | None = None,
 ) -> GraphAnswerInputs:
-    """Weigh documents into the facts, pick supporting chunks, and merge both by score."""
-    boosted = with_document_boost(facts, graph.edge_sources, document_relevance(signals))
+    """Weigh documents into the facts, pick supporting chunks, and merge both by score.
+
+    The documents behind the facts of a question are its votes; only their chunks are scored.
+    """
+    asked = stage(asked_questions(questions, index), "asked-questions")
+    votes = stage(source_votes(facts, graph.edge_sources), "votes")
+    boosted = with_document_boost(facts, graph.edge_sources, document_relevance(asked, index, votes))
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "edge_ord")
     rows = stage(
         boosted.withColumn("rank", F.row_number().over(by_score))
@@ -571,14 +608,9 @@ def combine(
         "top-rows",
     )
     from_facts = stage(fact_evidence(facts), "fact-evidence")
-    from_chunks = guided_chunk_evidence(
-        seeds,
-        signals,
-        graph_term_hits(rows, index),
-        source_votes(facts, graph.edge_sources, documents),
-        from_facts,
-        index,
-    )
+    if documents is not None:
+        votes = votes.join(documents.select("doc_id"), "doc_id", "left_semi")
+    from_chunks = guided_chunk_evidence(asked, seeds, rows, votes, from_facts, index)
     evidence = merge_evidence(from_facts, from_chunks, top_k)
     return GraphAnswerInputs(seeds, evidence, rows.where(F.col("rank") <= top_k).drop("row_terms"))
 

@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.functions.rows import beside, once
+from factloom.functions.rows import once
+from factloom.operators import matching
 
 # Fixed value: tokens are runs of two or more letters, digits or underscores.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-SIM_PLACES = 12
 
 
 def terms(text: Column, stop_words: Sequence[str]) -> Column:
@@ -118,22 +118,9 @@ def fit(
     )
 
 
-def similarity(query_vec: Column, weights: Column) -> Column:
-    """Product of a query vector and the ``map<idx, w>`` of an item, rounded to 12 places."""
-    total = F.aggregate(
-        query_vec,
-        F.lit(0.0),
-        lambda acc, t: acc + t["w"] * F.coalesce(weights[t["idx"]], F.lit(0.0)),
-    )
-    return F.round(total, SIM_PLACES)
-
-
 def cosine(queries: DataFrame, items: DataFrame, item_key: Sequence[str]) -> DataFrame:
-    """Cosine of every query and item that share a term; pairs without a common term are 0.
-
-    Scored beside the item's row: nothing is shuffled.
-    """
-    weighed = once(items.select(*item_key, "vec"), "weights", F.map_from_entries("vec"))
-    pairs = beside(weighed.drop("vec"), queries.select("qid", "vec"), "q")
-    scored = once(pairs, "sim", similarity(F.col("q.vec"), F.col("weights")))
-    return scored.where("sim > 0").select("q.qid", *item_key, "sim")
+    """Cosine of every query and item that share a term; pairs without a common term are 0."""
+    found = matching.pairs(
+        queries.select("qid", "vec"), items.select(*item_key, "vec"), item_key, {"vec": "vec"}, lambda f: {"sim": f.sim()}, sim="double"
+    )
+    return found.where("sim > 0")

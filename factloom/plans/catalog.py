@@ -75,11 +75,13 @@ class Bed:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return stage(r.chunk_signals(self.questions, self.guided_index), "signals")
+        """Relevance of every document that shares a term with a question."""
+        asked = r.asked_questions(self.questions, self.guided_index)
+        return stage(r.document_relevance(asked, self.guided_index), "signals")
 
     @cached_property
     def search(self) -> r.GraphAnswerInputs:
-        found = r.combine(self.seeds, self.facts, self.signals, self.graph, self.guided_index)
+        found = r.combine(self.questions, self.seeds, self.facts, self.graph, self.guided_index)
         return r.GraphAnswerInputs(found.seeds, stage(found.evidence, "evidence"), found.rows)
 
     @cached_property
@@ -580,7 +582,7 @@ def fact_evidence(b: Bed) -> DataFrame:
 
 
 def doc_relevance(b: Bed) -> DataFrame:
-    return r.document_relevance(b.signals).select(
+    return b.signals.select(
         "qid", "doc_id", F.round("relevance", 6).alias("relevance")
     )
 

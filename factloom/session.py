@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +32,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fac
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per context; Spark copies it to every executor."""
+    context = spark.sparkContext
+    if getattr(context, "_factloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="factloom-code-"), "factloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._factloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it in ``spark.checkpoint.dir``.
 
