@@ -126,6 +126,12 @@ def top_edges(rows: DataFrame, limit: int = 4) -> DataFrame:
     )
 
 
+def case_list(questions: DataFrame, rows: DataFrame, first: int = 10, edges: int = 4) -> DataFrame:
+    """The first questions that have facts, with their best ones: ``(qid, question, evidence_edges)``."""
+    best = top_edges(rows, edges).withColumnRenamed("top_graph_edges", "evidence_edges")
+    return questions.where(F.col("qid") <= first).join(best, "qid").select("qid", "question", "evidence_edges")
+
+
 def seed_names(seeds: DataFrame) -> DataFrame:
     return (
         seeds.groupBy("qid")

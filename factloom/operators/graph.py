@@ -24,7 +24,7 @@ from factloom.operators.entities import (
     with_entities,
 )
 from factloom.operators.rules import RULE_FACT_TYPE, RuleSet, rule_facts
-from factloom.session import stage
+from factloom.session import discard, stage
 
 EDGE_KEY = ["source", "relation", "target"]
 EVIDENCE_PER_EDGE = 4
@@ -391,26 +391,22 @@ def bounded_walk(neighbors: DataFrame, seeds: DataFrame, max_hops: int = 2) -> D
     return reached
 
 
-def connected_components(neighbors: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(neighbors: DataFrame) -> DataFrame:
     """Least node name of every component, by alternating large-star and small-star rounds.
 
     Both rounds are an aggregation and a join on the node, so a hub is pre-aggregated before the
     shuffle and its rows can be split by the adaptive skew join.  The edges of every round are
-    staged, which keeps the lineage short.
+    staged, which keeps the lineage short; the rounds end when one leaves the edges as they were.
     """
     all_nodes = neighbors.select("node").distinct()
-    edges = stage(neighbors.select("node", "neighbor"), "components-0")
-    state = None
-    for round_ in range(1, max_rounds + 1):
-        edges = stage(_small_star(_large_star(edges)), f"components-{round_}")
-        now = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("node", "neighbor").cast("decimal(38,0)"))
-        ).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    edges = stage(neighbors.select("node", "neighbor"), "components")
+    settled = False
+    while not settled:
+        after = stage(_small_star(_large_star(edges)), "components")
+        # Both are sets, so equal sizes and no edge that is new make them equal.
+        settled = after.count() == edges.count() and after.join(edges, ["node", "neighbor"], "left_anti").isEmpty()
+        discard(edges)
+        edges = after
     labels = edges.groupBy("node").agg(F.min("neighbor").alias("component"))
     return all_nodes.join(labels, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
@@ -445,19 +441,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(kept).distinct()
 
 
-def edge_table(edges: DataFrame) -> DataFrame:
-    """Edges in export form: weight to three places, evidence as one text."""
-    return edges.select(
-        "source",
-        "relation",
-        "target",
-        F.round("weight", 3).cast("double").alias("weight"),
-        F.array_join("evidence", " || ").alias("evidence"),
-        "n_sources",
-        "first_ord",
-    )
-
-
 def relation_histogram(edges: DataFrame, limit: int = 12) -> DataFrame:
     return (
         edges.groupBy("relation")

@@ -54,7 +54,7 @@ EXTRACT_SYSTEM = (
     "form; write relations in upper snake case; prefer specific facts to mere co-occurrence."
 )
 EXTRACT_TASK = (
-    "Give at most 18 facts of the text below as\n"
+    " of the text below as\n"
     '{"triples": [{"source": "", "relation": "", "target": "", "source_type": "", "target_type": "", '
     '"evidence": "exact short sentence", "confidence": 0.0}]}\n'
     "Types are Company, Person, Policy, Region, Metric, Concept or Document. Numbers become targets. "
@@ -62,10 +62,11 @@ EXTRACT_TASK = (
 )
 
 
-def extraction_replies(chunks: DataFrame, chat: Chat) -> DataFrame:
-    """Replies with triples for chunks that are not in the cache."""
+def extraction_replies(chunks: DataFrame, chat: Chat, most_facts: int | None = None) -> DataFrame:
+    """Replies with triples for chunks that are not in the cache; all facts are asked for, or ``most_facts``."""
+    wanted = "Give all facts" if most_facts is None else f"Give at most {most_facts} facts"
     user = F.concat(
-        F.lit(EXTRACT_TASK),
+        F.lit(wanted + EXTRACT_TASK),
         F.format_string("Document: %s\nTitle: %s\nLink: %s\nPart: %d\n\n", "doc_id", "title", "link", "chunk_index"),
         F.col("chunk"),
     )

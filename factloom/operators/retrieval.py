@@ -257,24 +257,34 @@ def primary_seeds(
 # --- graph facts -------------------------------------------------------------------------------------
 
 
+def is_document(node: Column) -> Column:
+    return node.startswith("doc:")
+
+
 def edges_in_reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges a question may use: ``(qid, edge, dist, source_seed, target_seed)``.
 
-    The walk of two hops runs over documents too, yet a usable fact must touch a node at most one
-    hop away and no document; documents have mention edges only.  So the nodes within one hop over
-    edges between other nodes give the same facts, and the document hub is never expanded.
+    The walk of two hops runs over documents too, yet a usable fact touches a node at most one hop away,
+    and that is not by way of a document.  So one hop gives the same facts.  Facts that have a document
+    as an end may also touch it one mention away from a seed: of the mentions only those of such documents
+    are walked, so the document hub is never expanded.
     """
-    plain = edges.where(
-        ~F.col("source").startswith("doc:") & ~F.col("target").startswith("doc:")
-    ).select(*EDGE_KEY)
+    facts = edges.where(F.col("relation") != fv.MENTIONED_IN).select(*EDGE_KEY)
+    ends = facts.select(F.explode(F.array("source", "target")).alias("doc"))
+    told = ends.where(is_document(F.col("doc"))).distinct()
+    mentions = edges.where(F.col("relation") == fv.MENTIONED_IN).select("source", F.col("target").alias("doc"))
     start = seeds.select("qid", "node", F.lit(0).alias("dist"))
     near = (
         start.drop("dist")
-        .join(g.both_ways(plain), "node")
+        .join(g.both_ways(facts), "node")
         .select("qid", F.col("neighbor").alias("node"), F.lit(1).alias("dist"))
     )
-    reach = start.unionByName(near).groupBy("qid", "node").agg(F.min("dist").alias("dist"))
-    facts = plain.where(F.col("relation") != fv.MENTIONED_IN)
+    mentioned = (
+        mentions.join(told, "doc")
+        .join(start.select("qid", F.col("node").alias("source")), "source")
+        .select("qid", F.col("doc").alias("node"), F.lit(1).alias("dist"))
+    )
+    reach = start.unionByName(near).unionByName(mentioned).groupBy("qid", "node").agg(F.min("dist").alias("dist"))
 
     def touching(end: str) -> DataFrame:
         seed = F.col("dist") == 0
@@ -306,12 +316,8 @@ def scored_facts(
 ) -> DataFrame:
     """Facts around the seeds with their score before documents are weighed in."""
     reach = edges_in_reach(seeds, graph.edges)
-    plain = graph.edges.where(
-        (F.col("relation") != fv.MENTIONED_IN)
-        & ~F.col("source").startswith("doc:")
-        & ~F.col("target").startswith("doc:")
-    )
-    wide = g.with_edge_order(plain, graph.nodes).select(
+    facts = graph.edges.where(F.col("relation") != fv.MENTIONED_IN)
+    wide = g.with_edge_order(facts, graph.nodes).select(
         *EDGE_KEY, "weight", "title", "first_source", "evidence", "edge_ord"
     )
     row_text = F.concat_ws(

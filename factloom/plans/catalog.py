@@ -15,17 +15,19 @@ from factloom.functions.rows import once
 from factloom.operators import answers, corpus, entities, retrieval as r, triples as tr, visual
 from factloom.operators import graph as g
 from factloom.plans import testbed as tb
-from factloom.session import shared_folder, stage
+from factloom.operators.vector_index import VectorIndex, length, recall
+from factloom.session import shared_folder, shared_path, stage
 from factloom.sources import files, tables
 
 STYLE = visual.VisualStyle(
     anchors=("Eriner", "License", "Thon", "Anon"),
     hubs=("Than", "Inner"),
     generic=tb.GENERIC,
-    focus_order=("Eriner", "License"),
     metric_terms=("SALES", "DELIVER", "REVENUE", "SHARE"),
 )
 
+VECTOR_LISTS = 16
+
 
 class Bed:
     """The shared tables of one data folder, each built when first asked for and staged once."""
@@ -79,6 +81,11 @@ class Bed:
         asked = r.asked_questions(self.questions, self.guided_index)
         return stage(r.document_relevance(asked, self.guided_index), "signals")
 
+    @cached_property
+    def vector_index(self) -> VectorIndex:
+        items, _ = vector_items(self)
+        return VectorIndex.build(items, shared_path(self.spark, "vector-index"), VECTOR_LISTS)
+
     @cached_property
     def search(self) -> r.GraphAnswerInputs:
         found = r.combine(self.questions, self.seeds, self.facts, self.graph, self.guided_index)
@@ -565,6 +572,38 @@ def nearest_vectors(b: Bed) -> DataFrame:
     )
 
 
+def vector_items(b: Bed) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 20."""
+    items = b.table("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    return items, items.where("item_id % 20 = 0").withColumnRenamed("item_id", "qid")
+
+
+def vector_index_search(b: Bed) -> DataFrame:
+    """The index with all its lists probed, which is the exact search."""
+    _, asked = vector_items(b)
+    return b.vector_index.search(asked, 10, probes=VECTOR_LISTS).select(
+        "qid", "rank", "item_id", F.round("cosine", 6).alias("cosine")
+    )
+
+
+def vector_index_recall(b: Bed) -> DataFrame:
+    """Whether as many probes as the index finds necessary reach the recall that was asked for."""
+    items, asked = vector_items(b)
+    probes = b.vector_index.probes_for(asked, 10, 0.95)
+    exact = r.nearest_vectors(*(with_unit_length(df) for df in (asked, items)), 10)
+    found = recall(b.vector_index.search(asked, 10, probes), exact)
+    return found.select("queries", (F.col("recall") >= 0.9).cast("bigint").alias("recall_reached"))
+
+
+def with_unit_length(vectors: DataFrame) -> DataFrame:
+    unit = F.transform("vec", lambda x: x.cast("double") / length(F.col("vec")))
+    return vectors.withColumn("vec", unit)
+
+
+def case_list(b: Bed) -> DataFrame:
+    return answers.case_list(b.questions, b.search.rows)
+
+
 def seeds(b: Bed) -> DataFrame:
     return answers.seed_names(b.seeds)
 
@@ -647,7 +686,8 @@ QUERIES: dict[str, Callable[[Bed], DataFrame]] = {
         star_components, semantic_edges, visual_node_scores, edge_export,
         triples_round_trip, triple_coercion, malformed_replies, triple_graph_edges,
         triple_graph_nodes, cache_latest, cache_split, work_estimate, tfidf_vocabulary,
-        tfidf_vectors, flat_topk, flat_topk_distance, nearest_vectors, evidence_lines, seeds,
+        tfidf_vectors, flat_topk, flat_topk_distance, nearest_vectors, vector_index_search,
+        vector_index_recall, case_list, evidence_lines, seeds,
         fact_scores, fact_evidence, doc_relevance, source_votes, top_rows, graph_evidence,
         flat_answers, benchmark_compare, judgements, judgement_summary, label_quality_of_evidence,
     )

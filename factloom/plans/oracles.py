@@ -541,6 +541,11 @@ _FINAL: dict[str, str] = {
     "fact_evidence": "SELECT qid, source_id, md5(text) AS digest, round(score, 6) AS score FROM fact_items",
     "doc_relevance": "SELECT qid, doc_id, round(relevance, 6) AS relevance FROM relevance",
     "source_votes": "SELECT * FROM votes",
+    "vector_index_search": "SELECT qid, rank, item_id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, item_id) AS rank FROM"
+    " (SELECT q.vec_id AS qid, i.vec_id AS item_id, round(list_dot_product(q.e, i.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(i.e, i.e))), 9) AS cosine"
+    " FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) i)) WHERE rank <= 10",
+    "vector_index_recall": "SELECT count(*) AS queries, CAST(1 AS BIGINT) AS recall_reached FROM embeddings WHERE vec_id % 20 = 0",
+    "case_list": "SELECT qid, question, top_graph_edges AS evidence_edges FROM asked JOIN edge_texts USING (qid) WHERE qid <= 10",
     "top_rows": "SELECT qid, rank, source, relation, target, round(score, 6) AS score FROM rows30 WHERE rank <= 10",
     "graph_evidence": "SELECT qid, rank, source_id, md5(text) AS digest, round(score, 6) AS score FROM graph_ev",
     "flat_answers": "SELECT * FROM fa_answers",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import logging
+import os
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ from factloom.functions import text as tx
 from factloom.operators import answers, corpus, graph as g, replies, retrieval as r, triples as tr
 from factloom.operators.entities import DEFAULT_DICTIONARY, EntityDictionary
 from factloom.operators.rules import DEFAULT_RULES, RuleSet
-from factloom.session import stage
+from factloom.session import discard, stage
 from factloom.sources import files
-from factloom.sources.chat import ChatSettings
+from factloom.sources.chat import ChatSettings, with_file
 
 log = logging.getLogger("factloom")
 
@@ -41,18 +42,26 @@ class Pipeline:
     judge: replies.Chat | None = None
     refresh_cache: bool = False
     score_mode: str = "cosine"
-    used: list[DataFrame] = field(default_factory=list)
+    chunks_per_commit: int = 2_000
+    most_facts: int | None = None  # asked for per chunk; None: all
+    calls: int = 0
+    tokens: int = 0
 
     def __post_init__(self) -> None:
         if self.mode not in ("llm", "offline"):
             raise ValueError(f"unknown mode {self.mode!r}")
         if self.mode == "llm" and self.chat is None:
-            self.settings = self.settings or ChatSettings.from_env()
+            self.settings = self.settings or ChatSettings.from_env(with_file(os.environ))
             self.chat = self.settings.chat()
             self.judge = self.settings.chat(judge=True)
         if self.judge is None:
             self.judge = self.chat
 
+    @property
+    def backend(self) -> str:
+        """Name of the flat search, as results and metadata give it."""
+        return "vector-distance" if self.score_mode == "distance" else "tfidf-cosine"
+
     # --- building ------------------------------------------------------------------------------------
 
     def documents(self) -> DataFrame:
@@ -80,15 +89,35 @@ class Pipeline:
         return tr.work_estimate(self.chunks(documents), self.cache(), questions, seconds)
 
     def extracted_triples(self, documents: DataFrame) -> DataFrame:
-        """Triples of all chunks; only chunks missing in the cache are asked for, then added to it."""
+        """Triples of all chunks; only chunks missing in the cache are asked for.
+
+        They are asked for in portions of about ``chunks_per_commit``, each of which is a commit of the
+        cache, so a run that fails has lost one portion and the next one asks for what is left.
+        """
         chunks = stage(self.chunks(documents), "chunks")
-        cache = stage(self.cache(), "cache")
-        hits, misses = tr.split_by_cache(chunks, cache)
-        answered = stage(replies.extraction_replies(misses, self.chat), "extraction-replies")
-        self.used.append(answered)
-        fresh = stage(tr.coerce_triples(tr.parse_replies(answered)), "fresh-triples")
-        files.append_cache(tr.cached_form(fresh, misses), self.cache_path)
-        return tr.coerce_triples(hits).unionByName(fresh)
+        _, missing = tr.split_by_cache(chunks, self.cache())
+        misses = stage(missing.dropDuplicates(["key"]), "misses")
+        portions = -(-misses.count() // self.chunks_per_commit)
+        # In order of portions, so that each is read from the row groups that hold it.
+        dealt = misses.withColumn("portion", F.pmod(F.xxhash64("key"), F.lit(portions or 1)))
+        dealt = stage(dealt.repartitionByRange("portion", "key").sortWithinPartitions("portion"), "misses-dealt")
+        for i in range(portions):
+            portion = dealt.where(F.col("portion") == i)
+            answered = stage(replies.extraction_replies(portion, self.chat, self.most_facts), "extraction-replies")
+            fresh = tr.coerce_triples(tr.parse_replies(answered))
+            files.append_cache(tr.cached_form(fresh, portion), self.cache_path)
+            self.count(answered)
+            discard(answered)
+            log.info("extracted portion %d of %d", i + 1, portions)
+        discard(misses, dealt)
+        known, _ = tr.split_by_cache(chunks, files.read_cache(self.spark, self.cache_path))
+        return tr.coerce_triples(known)
+
+    def count(self, answered: DataFrame) -> None:
+        """Add the calls and tokens of answered prompts to those of the run."""
+        used = replies.usage(answered).first()
+        self.calls += used["calls"]
+        self.tokens += used["tokens"]
 
     def graph(self, documents: DataFrame) -> g.Graph:
         if self.mode == "llm":
@@ -116,7 +145,7 @@ class Pipeline:
             return answers.extractive_answers(questions, evidence)
         told = replies.answer_replies(questions, answers.evidence_text(evidence), system, self.chat)
         told = stage(told, "answer-replies")
-        self.used.append(told)
+        self.count(told)
         return replies.parse_answers(questions, told)
 
     def ask(self, question: str, graph: g.Graph, documents: DataFrame) -> dict:
@@ -139,7 +168,7 @@ class Pipeline:
             r.flat_search(questions, r.flat_index(documents), score_mode=self.score_mode), "flat"
         )
         found = self.search(questions, graph, documents)
-        backend = "vector-distance" if self.score_mode == "distance" else "tfidf-cosine"
+        backend = self.backend
         if self.mode != "llm":
             return answers.compare(
                 questions, flat, found.evidence, found.seeds, found.rows, backend
@@ -157,7 +186,7 @@ class Pipeline:
         )
         pairs = stage(pairs, "pairs")
         judged = stage(replies.judge_replies(pairs, self.judge), "judge-replies")
-        self.used.append(judged)
+        self.count(judged)
         verdicts = answers.parse_judgements(judged)
         return (
             pairs.join(verdicts, "qid")
@@ -204,7 +233,6 @@ class Pipeline:
     def write_metadata(
         self, documents, graph, n_documents: int, n_questions: int, estimate, started: float
     ) -> None:
-        used = [replies.usage(df).first() for df in self.used]
         noisy = documents.where("skipped_content").orderBy("doc_seq").select("doc_id")
         files.write_table_of_noise(noisy, f"{self.output}/skipped_noisy_documents")
         facts = {
@@ -215,17 +243,18 @@ class Pipeline:
             "graph_edges": graph.edges.count(),
             "benchmark_questions": n_questions,
             "runtime_seconds": round(time.perf_counter() - started, 3),
-            "llm_calls": sum(u["calls"] for u in used),
-            "estimated_llm_tokens": sum(u["tokens"] for u in used),
+            "llm_calls": self.calls,
+            "estimated_llm_tokens": self.tokens,
             "model": self.settings.model if self.settings else None,
             "judge_model": self.settings.judge_model if self.settings else None,
+            "flat_backend": self.backend,
             "runtime_estimate": estimate,
         }
         schema = (
             "mode string, documents bigint, skipped_noisy_documents bigint, graph_nodes bigint, "
             "graph_edges bigint, benchmark_questions bigint, runtime_seconds double, "
             "llm_calls bigint, estimated_llm_tokens bigint, model string, judge_model string, "
-            "runtime_estimate map<string,double>"
+            "flat_backend string, runtime_estimate map<string,double>"
         )
         row = self.spark.createDataFrame([tuple(facts.values())], schema)
         files.write_metadata(row, f"{self.output}/run_metadata.json")

@@ -157,35 +157,32 @@ def graph_from_triple_rows(rows: DataFrame, dictionary: EntityDictionary) -> g.G
 # --- extraction cache ----------------------------------------------------------------------------------
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines to one entry per key; a missing cache is empty, the last line of a key wins.
+def commits(spark: SparkSession, path: str) -> dict[int, bool]:
+    """Numbers of the commits of a cache, and whether each was written to its end."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(target):
+        return {}
+    folders = [f.getPath() for f in store.listStatus(target) if f.getPath().getName().startswith("commit=")]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return {int(f.getName().split("=")[1]): store.exists(done(f, "_SUCCESS")) for f in folders}
 
-    Files are ordered by modification time and name, lines by their place.
-    """
-    if not _exists(spark, path):
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """One entry per key from the whole commits of a cache; a missing cache is empty, the last commit of a key wins."""
+    whole = sorted(n for n, done in commits(spark, path).items() if done)
+    if not whole:
         return spark.createDataFrame([], CACHE_SCHEMA)
-    lines = spark.read.schema(CACHE_SCHEMA).json(path)
-    placed = lines.where("key is not null").select(
-        "key",
-        "triples",
-        F.struct(
-            F.col("_metadata.file_modification_time").alias("at"),
-            F.col("_metadata.file_name").alias("file"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("line_no"),
-    )
-    return latest_entries(placed)
+    folders = [f"{path}/commit={n:09d}" for n in whole]
+    lines = spark.read.schema(f"{CACHE_SCHEMA}, commit bigint").option("basePath", path).json(folders)
+    order = F.struct("commit", F.to_json("triples")).alias("line_no")
+    return latest_entries(lines.where("key is not null").select("key", "triples", order))
 
 
 def append_cache(entries: DataFrame, path: str) -> None:
-    entries.select("key", "triples").write.mode("append").json(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.exists(target)
+    """One more commit, a folder with the next number; it counts when Spark has marked it as written."""
+    number = max(commits(entries.sparkSession, path), default=-1) + 1
+    entries.select("key", "triples").write.json(f"{path}/commit={number:09d}")
 
 
 # --- reports -------------------------------------------------------------------------------------------

@@ -143,3 +143,23 @@ def test_beside_meets_every_question_once(spark, portion):
     got = Counter((x["i"], x["q"]["qid"]) for x in beside(items, asked, "q", portion).collect())
     assert got == Counter((i, q) for i in (1, 2) for q in [1, 2, 3, None, 3])
     assert beside(items, asked.where("false"), "q", portion).count() == 0
+
+
+def test_facts_of_documents_are_reached_as_by_the_walk(spark):
+    """Facts with a document as an end: by one hop, or one mention away; the hub's other documents stay closed."""
+    facts = [
+        ("A", "MENTIONED_IN", "doc:1"), ("A", "MENTIONED_IN", "doc:2"), ("B", "MENTIONED_IN", "doc:1"), ("C", "MENTIONED_IN", "doc:2"),
+        ("doc:1", "CITES", "doc:3"), ("doc:3", "CITES", "D"), ("B", "AUTHOR_OF", "doc:1"), ("C", "KNOWS", "E"), ("E", "KNOWS", "F"),
+        ("A", "KNOWS", "C"), ("doc:9", "CITES", "F"), ("E", "REVIEWS", "doc:2"),
+    ]
+    edges = spark.createDataFrame(facts, "source string, relation string, target string")
+    seeds = spark.createDataFrame([(1, "A"), (2, "F"), (3, "B")], "qid bigint, node string")
+    dist = {(x.qid, x.node): x.dist for x in g.bounded_walk(g.both_ways(edges), seeds, 2).collect()}
+    want = {}
+    for q in (1, 2, 3):
+        for s, rel, t in facts:
+            ends = [dist.get((q, s)), dist.get((q, t))]
+            if rel != "MENTIONED_IN" and None not in ends and min(ends) <= 1:
+                want[q, s, rel, t] = min(ends)
+    got = {(x.qid, x.source, x.relation, x.target): x.dist for x in r.edges_in_reach(seeds, edges).collect()}
+    assert got == want and (1, "doc:1", "CITES", "doc:3") in got and (3, "B", "AUTHOR_OF", "doc:1") in got
