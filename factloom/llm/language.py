@@ -29,7 +29,7 @@ from factloom.llm.scripts import NAMES, code_points, tables
 
 BITS = 15  # slots per gram length: 2 ** BITS
 GRAMS = 2
-TRAIN_ROWS = 20_000  # labelled rows to learn from, about
+TRAIN_ROWS = 20_000  # labelled texts to learn from, about
 BLOCK = 1 << 19  # characters scored at once
 UNKNOWN = "und"
 
@@ -82,12 +82,21 @@ def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Learn from about ``rows`` rows with text and language, taken by a hash of the text."""
+    """Learn from about ``rows`` different texts with a language, as many of each language; from all of a rare one.
+
+    A text is taken if its hash is below a bound that depends on how many texts its language has; the
+    bound is never below the least hash of the language, so a language with a text is learnt however many
+    rows there are.  Copies of a text count once.
+    """
     labelled = own(train, text=text, lang=lang).where("text is not null and lang is not null")
-    total = labelled.count()
-    sample = labelled
-    if total > rows:
-        sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+    hashed = labelled.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    known = hashed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts"), F.min("hash").alias("least")).collect()
+    each = max(1, rows // max(1, len(known)))
+    bounds = [x for k in known for x in (F.lit(k["lang"]), F.lit(max(k["least"], int((1 << 63) * min(1.0, each / max(1, k["texts"]))) - 1)))]
+    sample = labelled.limit(0)
+    if known:
+        bound = F.element_at(F.create_map(*bounds), F.col("lang"))
+        sample = hashed.where(F.col("hash") <= bound).select("text", "lang").dropDuplicates()
     # Few enough rows for few tasks, each of which hands on one number per language and slot.
     sample = sample.repartition(8)
     width = GRAMS << BITS
@@ -245,17 +254,16 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
 
 def with_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score added, or replaced, in the row."""
+    """``row``, the rows of ``df`` as one column, so no name of theirs can clash, with lang_pred and score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, shares, _ = label(shared.value, batch[text].to_pylist())
+            names, shares, _ = label(shared.value, batch["text"].to_pylist())
             added = [pa.array(names, pa.string()), pa.array(shares, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *added], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch["row"], *added], ["row", "lang_pred", "score"])
 
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    rows = df.select(*kept)
-    added = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(tidy(run), StructType([*rows.schema.fields, *added.fields]))
+    rows = df.select(F.struct("*").alias("row")).select("row", F.col("row")[text].alias("text"))
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return rows.mapInArrow(tidy(run), StructType([rows.schema["row"], *added]))

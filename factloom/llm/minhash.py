@@ -253,9 +253,11 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     found = near_duplicates(df, doc_id, text, percent=percent, **how).where("kept").select("comp", F.struct("doc_id", "text_key").alias("row"))
     linked = found.where("comp is not null").groupBy("comp").agg(F.min("row").alias("row")).select("row")
     chosen = linked.union(found.where("comp is null").select("row").distinct())
-    chosen = chosen.select(F.col("row.doc_id").alias("_near_id"), F.col("row.text_key").alias("_near_text"))
-    same = df[doc_id].eqNullSafe(F.col("_near_id")) & (F.xxhash64(df[text]) == F.col("_near_text"))
-    return df.join(chosen, same, "left_semi").dropDuplicates([doc_id, text])
+    chosen = chosen.select(F.col("row.doc_id").alias("near_id"), F.col("row.text_key").alias("near_text"))
+    # The caller's row travels as one column, so no name of it can clash.
+    rows = df.select(F.struct("*").alias("row")).select("row", F.col("row")[doc_id].alias("id"), F.col("row")[text].alias("text"))
+    same = F.col("id").eqNullSafe(F.col("near_id")) & (F.xxhash64("text") == F.col("near_text"))
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["id", "text"]).select("row.*")
 
 
 def _texts(df: DataFrame, doc_id: str, text: str, classes: DataFrame, posted: DataFrame, leaders: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ share between none and all of its words.  Rounding pairs two shares and moves wo
 one to the other until one document is empty or full: the expected number of copies of each document
 stays what it was, and the words of the source stay the same at every step.  The residual of a block of
 documents goes on to the next level of a tree of blocks, where the residuals of one source meet again;
-the single one left over is rounded to the nearer end, so a source misses its target by at most half
-a document.
+the single one left over is rounded to the nearer end.  Of two documents the larger one stays open, so the
+one left over may be the largest of its source; the words that its rounding adds or takes are settled by
+giving or taking a copy of others: of a few documents for each power of two in size, the largest first
+that do not exceed what is missing.  What remains is less than the smallest document that could be settled with.
 
-Blocks come from a hash of the id and the number of rows, random numbers from a hash of id and level,
+Blocks come from a hash of id, text and the number among equal rows, random numbers from it and the level,
 so reruns agree whatever the cluster.  A block has a bounded number of rows on average whatever its
-sources are; a hot source spreads over all blocks.  Only id, source and size are shuffled.
+sources are; a hot source, a null id or one row that is repeated spreads over all blocks.  Only id, source,
+size and a hash of the text are shuffled.
 
 Null texts have no words, null sources are one source, the last in order; documents without words
 take none; equal rows are rounded each on their own.  No rows give no rows.
@@ -23,7 +26,7 @@ import random
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,8 +119,14 @@ def mix(
     fan_in: int = FAN_IN,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies * size) for every row."""
-    rows = own(df, doc_id=doc_id, source=source, text=text).select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    rows = stage(rows, "mix-sizes")
+    rows = own(df, doc_id=doc_id, source=source, text=text).select(
+        "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")
+    )
+    # Equal rows are counted before they are dealt and then numbered, so that they spread.
+    equal = rows.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("times"))
+    numbered = equal.withColumn("number", F.explode(F.expr("sequence(1L, times)")))
+    rows = numbered.select("doc_id", "source", "size", F.xxhash64("doc_id", "text_hash", "number").alias("salt"))
+    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sizes = stage(sizes, "mix-sources")
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -126,7 +135,6 @@ def mix(
     blocks = -(-max(total, 1) // block)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("rate")).cast("long")
-    salt = F.xxhash64("doc_id", "size")
     open_rows = (
         rows.join(named, rows["source"].eqNullSafe(named["_source"]))
         .drop("_source")
@@ -139,8 +147,9 @@ def mix(
             "target",
             whole.alias("whole"),
             ((F.col("rate") - whole) * F.col("size")).alias("share"),
-            salt.alias("salt"),
-            F.pmod(salt, F.lit(blocks)).alias("block"),
+            "salt",
+            "rid",
+            F.pmod("salt", F.lit(blocks)).alias("block"),
             F.lit(False).alias("done"),
         )
     )
@@ -157,26 +166,67 @@ def mix(
     result = finished[0]
     for part in finished[1:]:
         result = result.unionByName(part)
-    copies = F.col("whole") + (F.col("share") >= F.col("size")).cast("long") * (F.col("size") > 0).cast("long")
-    return result.select(
+    extra = (F.col("share") >= F.col("size")).cast("long") * (F.col("size") > 0).cast("long")
+    settled = result.withColumn("extra", extra)
+    flips = stage(_flips(settled.withColumn("open", F.col("target") / F.col("source_size") > F.col("whole"))), "mix-flips")
+    copies = F.col("whole") + F.when(F.col("flip"), 1 - F.col("extra")).otherwise(F.col("extra"))
+    return settled.join(flips, "rid", "left").select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
+PER_CLASS = 64  # documents of a source, a power of two in size and a direction that may be settled with
+
+
+def _flips(rows: DataFrame) -> DataFrame:
+    """(rid, flip) of the documents that give or get a copy, so that each source comes near its target.
+
+    A source has at most ``PER_CLASS`` candidates for each power of two, so its list is bounded.
+    """
+    taken = F.sum((F.col("whole") + F.col("extra")) * F.col("size"))
+    missing = rows.groupBy(F.col("source").alias("of")).agg((F.first("target") - taken).alias("missing")).where("abs(missing) >= 1")
+    able = rows.where(F.col("open") & (F.col("size") > 0)).select(
+        "source", "size", "salt", "rid", (F.col("extra") == 0).alias("gets"), F.floor(F.log2("size")).alias("class")
+    )
+    few = W.partitionBy("source", "gets", "class").orderBy("size", "salt", "rid")
+    listed = (
+        able.withColumn("place", F.row_number().over(few))
+        .where(F.col("place") <= PER_CLASS)
+        .groupBy("source")
+        .agg(F.sort_array(F.collect_list(F.struct("size", "salt", "rid", "gets")), asc=False).alias("able"))
+    )
+    wanted = listed.join(missing, listed["source"].eqNullSafe(missing["of"]))
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.abs("missing").alias("rest"), none.alias("rids"))
+
+    def settle(held: Column, row: Column) -> Column:
+        fits = (row["gets"] == (F.col("missing") > 0)) & (row["size"] <= held["rest"])
+        return F.when(
+            fits, F.struct((held["rest"] - row["size"]).alias("rest"), F.concat(held["rids"], F.array(row["rid"])).alias("rids"))
+        ).otherwise(held)
+
+    settled = wanted.select(F.aggregate("able", start, settle)["rids"].alias("rids"))
+    return settled.select(F.explode("rids").alias("rid"), F.lit(True).alias("flip"))
+
+
 def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it.
 
     Rows of one id, source and size share their copies evenly, the first texts in order getting one more.
     """
-    keys = ["_mix_id", "_mix_source", "_mix_size"]
-    copies = mix(df, doc_id=doc_id, text=text, source=source, **how).groupBy(
-        F.col("doc_id").alias(keys[0]), F.col("source").alias(keys[1]), F.col("size").alias(keys[2])
-    ).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows"))
-    sized = df.withColumn("_size", n_words(F.col(text)))
+    copies = mix(df, doc_id=doc_id, text=text, source=source, **how)
+    copies = copies.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    # The caller's row travels as one column, so no name of it can clash.
+    rows = df.select(F.struct("*").alias("row"))
+    row = F.col("row")
+    keyed = rows.select("row", row[doc_id].alias("row_id"), row[source].alias("row_source"), n_words(row[text]).alias("words"))
     same = (
-        sized[doc_id].eqNullSafe(copies[keys[0]]) & sized[source].eqNullSafe(copies[keys[1]]) & (sized["_size"] == copies[keys[2]])
+        keyed["row_id"].eqNullSafe(copies["doc_id"]) & keyed["row_source"].eqNullSafe(copies["source"]) & (keyed["words"] == copies["size"])
     )
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(text)) - 1
-    most, rest = F.expr("_mix_copies div _mix_rows"), F.expr("_mix_copies % _mix_rows")
-    counted = sized.join(copies, same).withColumn("_mine", (most + (place < rest).cast("long")).cast("int"))
-    return counted.where("_mine > 0").withColumn("_mine", F.explode(F.array_repeat(F.lit(1), F.col("_mine")))).select(*df.columns)
+    joined = keyed.join(copies, same).select("row", "doc_id", "source", "size", "copies", "rows")
+    # Only rows that share their key are ordered by text; the others take all copies of the key.
+    place = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(row[text])) - 1
+    several = joined.where("rows > 1").withColumn("place", place)
+    mine = several.select("row", F.expr("copies div rows + if(place < copies % rows, 1, 0)").alias("mine"))
+    counted = joined.where("rows = 1").select("row", F.col("copies").alias("mine")).unionByName(mine)
+    return counted.where("mine > 0").select(F.explode(F.expr("array_repeat(row, cast(mine as int))")).alias("row")).select("row.*")

@@ -396,9 +396,11 @@ def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how
     All other columns stay as they are; null texts stay null.
     """
     spans = repeated_strings(df, doc_id, text, **how).where("n_spans > 0").dropDuplicates(["doc_id", "sha256"])
-    spans = spans.select(F.col("doc_id").alias("_cut_id"), F.col("sha256").alias("_cut_sha"), F.col("spans").alias("_cut"))
-    same = df[doc_id].eqNullSafe(F.col("_cut_id")) & (F.sha2(df[text].cast("binary"), 256) == F.col("_cut_sha"))
-    joined = df.join(spans, same, "left").drop("_cut_id", "_cut_sha")
+    spans = spans.select(F.col("doc_id").alias("cut_id"), F.col("sha256").alias("cut_sha"), F.col("spans").alias("cut"))
+    # The caller's row travels as one column, so no name of it can clash.
+    rows, row = df.select(F.struct("*").alias("row")), F.col("row")
+    same = row[doc_id].eqNullSafe(F.col("cut_id")) & (F.sha2(row[text].cast("binary"), 256) == F.col("cut_sha"))
+    joined = rows.join(spans, same, "left").select("row", "cut")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
@@ -410,4 +412,5 @@ def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how
             dtype=object,
         )
 
-    return joined.withColumn(text, cut(F.col(text), F.col("_cut"))).select(*df.columns)
+    kept = joined.withColumn("kept", cut(row[text], F.col("cut")))
+    return kept.select(row.withField(text, F.col("kept")).alias("row")).select("row.*")
