@@ -20,7 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
     found = language.with_language(docs, model)
     kept = found.where(F.col("lang_pred") != language.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    filled = F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred"))
+    return kept.select(filled.alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
