@@ -105,6 +105,9 @@ def guided_chunks(documents: DataFrame) -> DataFrame:
     return windows(documents, fv.GUIDED_WINDOW, fv.GUIDED_STRIDE, fv.GUIDED_MIN_CHARS)
 
 
+GROUP = 256  # windows of a group while a text is cut
+
+
 def _last_break(window: Column) -> Column:
     """1-based place of the last ``". "`` or line end in a window, 0 if there is none."""
     backwards = F.reverse(window)
@@ -123,40 +126,60 @@ def char_chunks(
 ) -> DataFrame:
     """Cut texts into windows that prefer to end behind a sentence or line.
 
-    The cut of one window fixes the start of the next, so each text is folded with ``aggregate``; the
-    fold state is the rest of the text and the windows so far.  A window moves on by more than half
-    its size, which bounds the steps.  ``max_chunks=None`` cuts the whole text.
+    The cut of one window fixes the start of the next, so each text is folded with ``aggregate``, over
+    pieces of the size of a window; the state is what is left of the pieces so far, less than two
+    windows, and the windows cut.  A window moves on by more than half its size, so a piece brings
+    two cuts at most, and the work grows with the text.  ``max_chunks=None`` cuts the whole text.
     """
     half = chunk_chars // 2
-    start = F.struct(F.col("text").alias("rest"), F.array().cast("array<string>").alias("chunks"))
+    none = F.array().cast("array<string>")
+
+    def state_of(rest: Column, chunks: Column, full: Column) -> Column:
+        return F.struct(rest.alias("rest"), chunks.alias("chunks"), full.alias("full"))
+
+    def open_slots(state: Column) -> Column:
+        if max_chunks is None:
+            return F.lit(True)
+        return F.size(F.flatten(state["full"])) + F.size(state["chunks"]) < max_chunks
+
+    def with_chunk(state: Column, text: Column) -> Column:
+        return tx.let(
+            tx.strip(text),
+            lambda chunk: F.when(chunk != "", F.concat(state["chunks"], F.array(chunk))).otherwise(state["chunks"]),
+        )
 
-    def step(state: Column, _i: Column) -> Column:
+    def cut(state: Column) -> Column:
+        """Cut a window off if text follows it."""
         rest = state["rest"]
-        open_slots = F.lit(True) if max_chunks is None else F.size(state["chunks"]) < max_chunks
-        going = (F.length(rest) > 0) & open_slots
-
-        def cut(window: Column) -> Column:
-            # A break only shortens the window if text follows and it lies beyond the half.
-            at = _last_break(window)
-            end = F.when((F.length(rest) > chunk_chars) & (at - 1 > half), at).otherwise(
-                F.length(window)
-            )
 
-            def emit(end: Column) -> Column:
-                chunk = tx.strip(F.substring(window, F.lit(1), end))
-                return F.struct(
-                    F.substring(rest, end + 1, F.length(rest)).alias("rest"),
-                    F.when(chunk != "", F.concat(state["chunks"], F.array(chunk)))
-                    .otherwise(state["chunks"])
-                    .alias("chunks"),
-                )
+        def emit(end: Column) -> Column:
+            chunks = with_chunk(state, F.substring(rest, F.lit(1), end))
+            return state_of(F.substring(rest, end + 1, F.length(rest)), chunks, state["full"])
+
+        def by_break(at: Column) -> Column:
+            # A break only shortens the window if it lies beyond the half.
+            return tx.let(F.when(at - 1 > half, at).otherwise(F.lit(chunk_chars)), emit)
+
+        going = (F.length(rest) > chunk_chars) & open_slots(state)
+        return F.when(going, tx.let(_last_break(F.substring(rest, 1, chunk_chars)), by_break)).otherwise(state)
+
+    def put_by(state: Column) -> Column:
+        """Windows are put by in groups, since adding to a long array copies it."""
+        full = F.concat(state["full"], F.array(state["chunks"]))
+        return F.when(F.size(state["chunks"]) >= GROUP, state_of(state["rest"], none, full)).otherwise(state)
 
-            return tx.let(end, emit)
+    def step(state: Column, piece: Column) -> Column:
+        rest = F.when(open_slots(state), F.concat(state["rest"], piece)).otherwise(F.lit(""))
+        longer = state_of(rest, state["chunks"], state["full"])
+        return tx.let(tx.let(tx.let(longer, cut), cut), put_by)
 
-        return F.when(going, tx.let(F.substring(rest, 1, chunk_chars), cut)).otherwise(state)
+    def finish(state: Column) -> Column:
+        last = F.when(open_slots(state), with_chunk(state, state["rest"])).otherwise(state["chunks"])
+        return F.flatten(F.concat(state["full"], F.array(last)))
 
-    steps = F.ceil(F.length("text") / max(half, 1)).cast("int") + 1
-    chunks = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["chunks"])
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))
+    start = state_of(F.lit(""), none, F.array().cast("array<array<string>>"))
+    chunks = F.aggregate(pieces, start, step, finish)
     keep = ["doc_id", "doc_seq", "title", "link"]
     return (
         unnest(documents, keep, chunks, "pos", "chunk")

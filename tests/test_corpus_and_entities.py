@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,21 @@ def test_char_chunks_against_brute_force(spark):
         assert got == {i: chunks_of(t, size, most) for i, t in enumerate(texts)}
 
 
+def test_cutting_grows_with_the_text(spark):
+    def seconds(n):
+        table = docs(spark, ["A sentence of a text, é. " * (n // 25)]).cache()
+        table.count()
+        times = []
+        for _ in range(2):
+            started = time.perf_counter()
+            assert corpus.char_chunks(table, 500).agg(F.sum(F.length("chunk"))).first()[0] > 0.9 * n
+            times.append(time.perf_counter() - started)
+        return min(times)
+
+    seconds(400_000)
+    assert seconds(1_600_000) < 9 * seconds(400_000)  # 4 in proportion, 16 if each cut read the whole rest
+
+
 def test_windows(spark):
     sents = [f"Sentence number {i:03d} is long enough to stay in the text." for i in range(11)]
     table = docs(spark, [" ".join(sents), "Too short."])
