@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
@@ -79,7 +79,11 @@ def write_triples(graph: g.Graph, path: str) -> None:
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a triple table as text, with their place in the files."""
+    """Rows of a triple table as text, with their file and their place in it.
+
+    A file is read by one task (cells may hold line ends), so numbers that rise within a task order its rows;
+    they say nothing about the order of files, which goes by name.
+    """
     columns = ", ".join(f"{c} string" for c in TRIPLE_COLUMNS)
     rows = spark.read.schema(columns).options(**CSV_OPTIONS).csv(path)
     return rows.select(
@@ -92,8 +96,17 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 def graph_from_triple_rows(rows: DataFrame, dictionary: EntityDictionary) -> g.Graph:
     """Triple rows to a graph; names and relations are normalised again, types come from names.
 
-    Unreadable weights count 1; joined sources and evidence are taken apart before the fold.
+    Unreadable weights count 1; joined sources and evidence are taken apart before the fold.  Rows come in
+    the order of ``file``, if there is one, and ``row_no``.
     """
+    if "file" in rows.columns:
+        by_name = Window.orderBy("file")  # one row per file
+        files = rows.select("file").distinct().withColumn("file_no", F.row_number().over(by_name).cast("bigint"))
+        # Of a number that rises within a task, the lower 33 bits count the rows of the task.
+        in_task = F.col("row_no").bitwiseAND(F.lit((1 << 33) - 1))
+        rows = rows.join(files, "file").withColumns({"first_no": F.col("file_no"), "next_no": in_task})
+    else:
+        rows = rows.withColumns({"first_no": F.col("row_no"), "next_no": F.lit(0)})
     named = rows.select(
         F.coalesce("source", F.lit("")).alias("source"),
         tx.relation_name(F.coalesce("relation", F.lit("RELATED_TO"))).alias("relation"),
@@ -101,7 +114,8 @@ def graph_from_triple_rows(rows: DataFrame, dictionary: EntityDictionary) -> g.G
         F.coalesce(F.expr("try_cast(weight as decimal(18,6))"), F.lit(1)).alias("weight"),
         tx.clean_text(F.coalesce("sources", F.lit(""))).alias("sources"),
         tx.clean_text(F.coalesce("evidence", F.lit(""))).alias("evidence"),
-        "row_no",
+        "first_no",
+        "next_no",
     )
     clean = resolve_names(named, ["source", "target"], dictionary).where(
         (F.col("source") != "") & (F.col("target") != "")
@@ -113,7 +127,8 @@ def graph_from_triple_rows(rows: DataFrame, dictionary: EntityDictionary) -> g.G
         *g.EDGE_KEY,
         F.col("weight").cast("decimal(18,6)").alias("row_weight"),
         F.posexplode(F.arrays_zip(texts.alias("e"), docs.alias("d"))).alias("pos", "p"),
-        "row_no",
+        "first_no",
+        "next_no",
     )
     facts = parts.select(
         *g.EDGE_KEY,
@@ -123,7 +138,7 @@ def graph_from_triple_rows(rows: DataFrame, dictionary: EntityDictionary) -> g.G
         F.coalesce("p.e", F.lit("")).alias("evidence"),
         F.col("p.d").alias("doc_id"),
         F.lit("").alias("title"),
-        ordinal(F.col("row_no"), F.lit(0), F.col("pos")).alias("ord"),
+        ordinal(F.col("first_no"), F.col("next_no"), F.col("pos")).alias("ord"),
     )
     ends = clean.select(
         F.inline(
@@ -131,7 +146,7 @@ def graph_from_triple_rows(rows: DataFrame, dictionary: EntityDictionary) -> g.G
                 *(
                     F.struct(
                         F.col(end).alias("node"),
-                        ordinal(F.col("row_no"), F.lit(0), F.lit(i)).alias("ord"),
+                        ordinal(F.col("first_no"), F.col("next_no"), F.lit(i)).alias("ord"),
                     )
                     for i, end in enumerate(("source", "target"))
                 )

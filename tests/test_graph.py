@@ -172,3 +172,16 @@ def test_cache(spark, tmp_path):
         files.append_cache(spark.sql(f"select '{key}' as key, from_json('{triples}', '{tr.TRIPLES}') as triples"), path)
     got = {r["key"]: len(r["triples"]) for r in files.read_cache(spark, path).collect()}
     assert got == {"k1": 1, "k2": 1}
+
+
+def test_files_are_folded_in_the_order_of_their_names(spark, tmp_path):
+    """The first file's evidence comes first, though Spark reads the larger file first."""
+    folder = tmp_path / "triples"
+    folder.mkdir()
+    head = "source,relation,target,weight,sources,evidence\n"
+    (folder / "part-0.csv").write_text(head + 'A,KNOWS,B,1.0,doc_1,"first\nof all"\nA,KNOWS,B,1.0,doc_2,second\n')
+    more = "".join(f"X{i},KNOWS,Y{i},1.0,doc_9,filler {i}\n" for i in range(3000))
+    (folder / "part-1.csv").write_text(head + "A,KNOWS,B,1.0,doc_3,third\n" + more + "A,KNOWS,B,1.0,doc_4,fourth\n")
+    graph = files.graph_from_triple_rows(files.read_triples(spark, f"file://{folder}"), en.DEFAULT_DICTIONARY)
+    (edge,) = graph.edges.where("source = 'A'").collect()
+    assert [e.split()[0] for e in edge["evidence"]] == ["first", "second", "third", "fourth"] and edge["n_sources"] == 4
