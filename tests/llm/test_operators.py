@@ -324,6 +324,60 @@ def test_short_excerpts_are_contained(spark):
         assert r.like == pytest.approx(len(x & y) / len(x | y))
 
 
+def test_fraction_sketches(spark):
+    """Sketches of a fraction: unions are exact, likeness is near that of the sets, thin pairs are told by whole sets."""
+    random.seed(13)
+    bits = fingerprints.FRACTION_BITS
+    rows = []
+    for i in range(120):
+        words = [f"w{random.randrange(10**9)}" for _ in range(random.choice([3, 40, 100, 160, 400, 900]))]
+        cut = random.randrange(len(words) + 1)
+        rows.append((" ".join(words), " ".join(words[:cut] + [f"v{random.randrange(10**9)}" for _ in range(len(words) - cut)])))
+    df = spark.createDataFrame(rows, "a string, b string")
+    a, b = (fingerprints.sketch(F.col(c), bits) for c in "ab")
+    union = F.size(F.array_union(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))) - 1
+    like = fingerprints.containment(a, b)
+    found = df.select("a", "b", like.alias("like"), fingerprints.merged(a, b, bits).alias("m"), fingerprints.merged(b, a, bits).alias("n"), union.alias("u")).collect()
+    for r in found:
+        x, y = brute.shingles(r.a), brute.shingles(r.b)
+        assert r.m == r.n and r.u == len(x | y) and (r.m[0] == 0) == (r.u < fingerprints.KEEP_ALL)
+        assert len(r.m) - 1 == r.u if r.m[0] == 0 else abs((len(r.m) - 1) - r.u / 2**bits) < 5 * r.u**0.5
+        if r.like is not None:
+            exact = len(x & y) / min(len(x), len(y))
+            assert r.like == exact if max(len(x), len(y)) < fingerprints.KEEP_ALL else abs(r.like - exact) < 0.4
+    errors = [r.like - len(brute.shingles(r.a) & brute.shingles(r.b)) / len(brute.shingles(r.a)) for r in found if len(r.a.split()) == 900]
+    assert errors and sum(e * e for e in errors) / len(errors) < 0.05**2
+    parts = df.where("size(split(a, ' ')) >= 5").select(fingerprints.sketch(F.concat_ws(" ", "a", "b"), bits).alias("ab"), a.alias("sa"), b.alias("sb"))
+    for r in parts.collect():  # a text of both parts has at most four shingles more
+        whole = {x for p in (r.sa, r.sb) for x in p[1:] if x < 1 << 60 - r.ab[0]}
+        assert whole <= set(r.ab[1:]) and (r.ab[0] == 0 or len(r.ab) - 1 - len(whole) <= 4)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_likeness_of_edits(spark, kind):
+    """Every likeness of the query against the sets, excerpts of 5 to 20 words beside their text included."""
+    random.seed(14)
+    texts = []
+    for n in (5, 8, 12, 20, 60, 150) * 8:
+        words = [f"w{random.randrange(10**9)}" for _ in range(random.randint(200, 700))]
+        at = random.randrange(len(words) - n)
+        texts += [" ".join(words), " ".join(words[at : at + n])]
+    ids = [f"doc_{i:09d}" if kind == "string" else i for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts, ids)), f"doc_id {kind}, text string, _place {kind}").repartition(3)
+    found = by_id(fingerprints.fingerprint_edits(df))
+    for i, text in enumerate(texts):
+        r, after, k = found[ids[i]], texts[i - 1], len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for near, like, other in ((r.near_edited, r.jaccard_edited, edited), (r.near_next, r.jaccard_next, after)):
+            x, y = brute.shingles(text), brute.shingles(other)
+            assert near == pytest.approx(len(x & y) / min(len(x), len(y)), abs=0.3)
+            assert like == pytest.approx(len(x & y) / len(x | y), abs=0.3)
+        if i % 2:
+            assert r.near_next == 1.0
+    assert sum(len(r.fingerprint) for r in found.values()) < sum(map(len, texts))
+
+
 def test_urls(spark):
     rules = queries.URL_RULES
     urls = ["http://A.example.NET/en/x?q#f", "https://x.example.net/en", "ftp://example.com/de/1", "http://org/fr/", "http://b.org/de/", None, "no scheme", "x://bad.info/p"]
