@@ -270,8 +270,8 @@ def build_by_rules(documents: DataFrame, dictionary: EntityDictionary, rules: Ru
     return Graph(nodes, fold_edges(facts), source_rows(facts))
 
 
-def build_from_triples(triples: DataFrame, dictionary: EntityDictionary) -> Graph:
-    """Graph from coerced triples ``(doc_id, doc_seq, title, link, chunk_index, triple_ord, ...)``."""
+def triple_parts(triples: DataFrame, dictionary: EntityDictionary) -> tuple[DataFrame, DataFrame]:
+    """Facts and node adds of coerced triples ``(doc_id, doc_seq, title, link, chunk_index, triple_ord, ...)``."""
     resolved = stage(resolve_names(triples, ["source", "target"], dictionary), "triples")
     facts = triple_facts(resolved)
 
@@ -294,7 +294,12 @@ def build_from_triples(triples: DataFrame, dictionary: EntityDictionary) -> Grap
         for i, e in ((1, "source"), (2, "target"))
     ]
     document = add(0, doc_node, F.lit("Document"), F.col("doc_id"), F.col("title"), F.col("link"))
-    adds = resolved.select(F.inline(F.array(document, *ends)))
+    return facts, resolved.select(F.inline(F.array(document, *ends)))
+
+
+def build_from_triples(triples: DataFrame, dictionary: EntityDictionary) -> Graph:
+    """Graph from coerced triples, see ``triple_parts``."""
+    facts, adds = triple_parts(triples, dictionary)
     return Graph(fold_nodes(adds), fold_edges(facts), source_rows(facts))
 
 

@@ -13,7 +13,7 @@ from factloom import fixed_values as fv
 from factloom.functions import text as tx
 from factloom.functions.rows import once
 from factloom.operators import answers, corpus, entities, retrieval as r, triples as tr, visual
-from factloom.operators import graph as g
+from factloom.operators import graph as g, growing
 from factloom.plans import testbed as tb
 from factloom.operators.vector_index import VectorIndex, length, recall
 from factloom.session import shared_folder, shared_path, stage
@@ -499,6 +499,23 @@ def triple_graph_nodes(b: Bed) -> DataFrame:
     return g.build_from_triples(b.coerced, tb.DICTIONARY).nodes.select("node", "type", "label", "mentions", "title")
 
 
+def _grown(b: Bed) -> g.Graph:
+    """The graph of two stored parts, documents of odd and of even ordinals."""
+    path = shared_path(b.spark, "graph-parts")
+    for name, odd in (("odd", 1), ("even", 0)):
+        own = b.coerced.where(F.pmod("doc_seq", F.lit(2)) == odd)
+        growing.store_part(growing.state_of(*g.triple_parts(own, tb.DICTIONARY)), path, name)
+    return growing.graph_of(growing.read_state(b.spark, path))
+
+
+def grown_graph_edges(b: Bed) -> DataFrame:
+    return _edge_rows(_grown(b).edges)
+
+
+def grown_graph_nodes(b: Bed) -> DataFrame:
+    return _grown(b).nodes.select("node", "type", "label", "mentions", "title")
+
+
 def cache_latest(b: Bed) -> DataFrame:
     lines = b.table("events").select(
         F.col("event_id").alias("line_no"),
@@ -684,7 +701,7 @@ QUERIES: dict[str, Callable[[Bed], DataFrame]] = {
         cooccurrence_edges, pattern_facts, graph_edges, edge_sources, graph_nodes, simple_graph,
         simple_graph_with_documents, graph_counts, relation_histogram, star_degrees, star_walk,
         star_components, semantic_edges, visual_node_scores, edge_export,
-        triples_round_trip, triple_coercion, malformed_replies, triple_graph_edges,
+        triples_round_trip, triple_coercion, malformed_replies, grown_graph_edges, grown_graph_nodes, triple_graph_edges,
         triple_graph_nodes, cache_latest, cache_split, work_estimate, tfidf_vocabulary,
         tfidf_vectors, flat_topk, flat_topk_distance, nearest_vectors, vector_index_search,
         vector_index_recall, case_list, evidence_lines, seeds,

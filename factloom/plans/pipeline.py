@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom import fixed_values as fv
 from factloom.functions import text as tx
-from factloom.operators import answers, corpus, graph as g, replies, retrieval as r, triples as tr
+from factloom.operators import answers, corpus, graph as g, growing, replies, retrieval as r, triples as tr
 from factloom.operators.entities import DEFAULT_DICTIONARY, EntityDictionary
 from factloom.operators.rules import DEFAULT_RULES, RuleSet
 from factloom.session import discard, stage
@@ -44,6 +44,7 @@ class Pipeline:
     score_mode: str = "cosine"
     chunks_per_commit: int = 2_000
     most_facts: int | None = None  # asked for per chunk; None: all
+    part: str | None = None  # in ``llm`` mode: name of this corpus as a part of the graph stored under ``output``
     calls: int = 0
     tokens: int = 0
 
@@ -120,7 +121,11 @@ class Pipeline:
         self.tokens += used["tokens"]
 
     def graph(self, documents: DataFrame) -> g.Graph:
-        if self.mode == "llm":
+        if self.mode == "llm" and self.part:
+            state = growing.state_of(*g.triple_parts(self.extracted_triples(documents), self.dictionary))
+            growing.store_part(state, f"{self.output}/graph_parts", self.part)
+            built = growing.graph_of(growing.read_state(self.spark, f"{self.output}/graph_parts"))
+        elif self.mode == "llm":
             built = g.build_from_triples(self.extracted_triples(documents), self.dictionary)
         else:
             built = g.build_by_rules(documents, self.dictionary, self.rules)
