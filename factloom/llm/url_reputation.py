@@ -6,7 +6,7 @@ strongly is estimated from the data as an intra-class correlation, out of whole-
 two outcomes of one child agree more often than two of different children of one parent.  A host
 passes if the lower posterior bound of its share of good pages reaches a threshold.
 
-Only the labelled counts are shuffled wide; pages travel once, with their host, to the one row of
+Pages and labels meet once, in counts that are written, one row per host; pages travel once, with their host, to the one row of
 that host in an equi-join that the adaptive planner splits where a host is hot.  Three times four
 sums, whatever the input, go through the driver.
 
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import ascii_lower, own
+from factloom.session import stage
 
 # Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "co.nz", "com.br", "co.in", "co.za")
@@ -191,6 +192,7 @@ def judge_urls(
             F.count("good").alias("n"),
         )
     )
+    counts = stage(counts, "host-counts")  # read four times: one join of pages and labels, one row per host
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     own_verdict = F.when(F.col("lower_bound") >= how.threshold, "allow").otherwise("block")
     return page.join(host_reputation(counts, how), "host", "left").select(
