@@ -7,7 +7,6 @@ row by row inside the JVM and never densified.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ from pyspark.ml.feature import (
     StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
@@ -88,8 +87,15 @@ def fit(
     """
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
-    # Total counts and chunk counts in one pass: a term adds to the first for each repeat and to
-    # the second once per chunk, so no shuffle by chunk is needed.
+    counts = term_counts(chunks, text, stop_words)
+    rows = ranked_terms(counts, chunks.count(), max_features).orderBy("idx").collect()
+    return TfidfModel([r["term"] for r in rows], [r["idf"] for r in rows], tuple(stop_words))
+
+
+def term_counts(chunks: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """(term, cf, df): occurrences and chunks of every term.  Counts of parts of the chunks add up."""
+    # Both counts in one pass: a term adds to the first for each repeat and to the second once per
+    # chunk, so no shuffle by chunk is needed.
     counted = chunks.select(
         F.explode(
             tx.let(
@@ -103,19 +109,21 @@ def fit(
             )
         ).alias("t")
     )
+    return counted.groupBy("t.term").agg((F.count("*") - F.sum("t.df")).alias("cf"), F.sum("t.df").alias("df"))
+
+
+def ranked_terms(counts: DataFrame, n_chunks: int, max_features: int) -> DataFrame:
+    """(idx, term, idf) of the ``max_features`` most frequent terms, from counts of one or more parts."""
     top = (
-        counted.groupBy("t.term")
-        .agg((F.count("*") - F.sum("t.df")).alias("cf"), F.sum("t.df").alias("df"))
+        counts.groupBy("term")
+        .agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
         .orderBy(F.desc("cf"), "term")
         .limit(max_features)
-        .collect()
-    )
-    n = chunks.count()
-    return TfidfModel(
-        [r["term"] for r in top],
-        [math.log((1 + n) / (1 + r["df"])) + 1 for r in top],
-        tuple(stop_words),
     )
+    # At most max_features rows are left to number.
+    place = F.row_number().over(Window.orderBy(F.desc("cf"), "term")) - 1
+    idf = F.log((1 + F.lit(n_chunks)) / (1 + F.col("df"))) + 1
+    return top.select(place.alias("idx"), "term", idf.alias("idf"))
 
 
 def cosine(queries: DataFrame, items: DataFrame, item_key: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from factloom import fixed_values as fv
 from factloom.functions import text as tx
 from factloom.functions.rows import once
 from factloom.operators import answers, corpus, entities, retrieval as r, triples as tr, visual
-from factloom.operators import graph as g, growing
+from factloom.operators import graph as g, growing, stored_index, tfidf
 from factloom.plans import testbed as tb
 from factloom.operators.vector_index import VectorIndex, length, recall
 from factloom.session import shared_folder, shared_path, stage
@@ -546,11 +546,9 @@ def work_estimate(b: Bed) -> DataFrame:
 
 
 def tfidf_vocabulary(b: Bed) -> DataFrame:
-    model = b.flat_index.model
-    rows = [(t, float(w)) for t, w in zip(model.vocabulary, model.idf)]
-    return b.spark.createDataFrame(rows, "term string, idf double").select(
-        "term", F.round("idf", 6).alias("idf")
-    )
+    chunks = b.flat_index.chunks
+    ranked = tfidf.ranked_terms(tfidf.term_counts(chunks, "text", fv.STOP_WORDS), chunks.count(), fv.FLAT_MAX_FEATURES)
+    return ranked.select("term", F.round("idf", 6).alias("idf"))
 
 
 def tfidf_vectors(b: Bed) -> DataFrame:
@@ -566,6 +564,19 @@ def flat_topk(b: Bed) -> DataFrame:
     )
 
 
+def stored_flat_topk(b: Bed) -> DataFrame:
+    """Flat search in an index that was stored in two parts and fitted from their added counts."""
+    path = shared_path(b.spark, "index")
+    for name, odd in (("odd", 1), ("even", 0)):
+        own = b.documents.where(F.pmod("doc_seq", F.lit(2)) == odd)
+        stored_index.store_part(own, path, name, fv.STOP_WORDS)
+    stored_index.refit(b.spark, path)
+    found = r.flat_search(b.questions, stored_index.read(b.spark, path).flat)
+    return found.select(
+        "qid", "rank", "source_id", F.md5("text").alias("digest"), F.round("score", 6).alias("score")
+    )
+
+
 def flat_topk_distance(b: Bed) -> DataFrame:
     found = r.flat_search(b.questions, b.flat_index, score_mode="distance")
     return found.select(
@@ -703,7 +714,7 @@ QUERIES: dict[str, Callable[[Bed], DataFrame]] = {
         star_components, semantic_edges, visual_node_scores, edge_export,
         triples_round_trip, triple_coercion, malformed_replies, grown_graph_edges, grown_graph_nodes, triple_graph_edges,
         triple_graph_nodes, cache_latest, cache_split, work_estimate, tfidf_vocabulary,
-        tfidf_vectors, flat_topk, flat_topk_distance, nearest_vectors, vector_index_search,
+        tfidf_vectors, flat_topk, stored_flat_topk, flat_topk_distance, nearest_vectors, vector_index_search,
         vector_index_recall, case_list, evidence_lines, seeds,
         fact_scores, fact_evidence, doc_relevance, source_votes, top_rows, graph_evidence,
         flat_answers, benchmark_compare, judgements, judgement_summary, label_quality_of_evidence,

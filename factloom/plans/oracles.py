@@ -584,3 +584,5 @@ ORACLES = {name: with_ctes(_widened(name, sql)) for name, sql in _FINAL.items()}
 # A graph grown from stored parts is the graph of all documents.
 ORACLES["grown_graph_edges"] = ORACLES["triple_graph_edges"]
 ORACLES["grown_graph_nodes"] = ORACLES["triple_graph_nodes"]
+# An index of stored parts is the index of all documents.
+ORACLES["stored_flat_topk"] = ORACLES["flat_topk"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom import fixed_values as fv
 from factloom.functions import text as tx
-from factloom.operators import answers, corpus, graph as g, growing, replies, retrieval as r, triples as tr
+from factloom.operators import answers, corpus, graph as g, growing, replies, retrieval as r, stored_index, triples as tr
 from factloom.operators.entities import DEFAULT_DICTIONARY, EntityDictionary
 from factloom.operators.rules import DEFAULT_RULES, RuleSet
 from factloom.session import discard, stage
@@ -137,11 +137,35 @@ class Pipeline:
 
     # --- answering -----------------------------------------------------------------------------------
 
+    @property
+    def index_path(self) -> str:
+        return f"{self.output}/index"
+
+    def index(self, documents: DataFrame) -> stored_index.Indexes:
+        """Store the documents as a part of the index under ``output``; those of the graph are searched.
+
+        A run with ``part`` searches the chunks of all parts of the graph that are in the index too.
+        """
+        stored_index.store_part(documents, self.index_path, self.part or "corpus")
+        names = [self.part or "corpus"]
+        if self.mode == "llm" and self.part:
+            known = growing.parts(self.spark, f"{self.output}/graph_parts")
+            names = [name for name in stored_index.parts(self.spark, self.index_path) if name in known]
+        stored_index.refit(self.spark, self.index_path, names)
+        stored_index.clean(self.spark, self.index_path)
+        return self.stored_index()
+
+    def stored_index(self) -> stored_index.Indexes:
+        """The newest index of an earlier run; no corpus file is read."""
+        return stored_index.read(self.spark, self.index_path)
+
+    def has_index(self) -> bool:
+        return bool(stored_index.versions(self.spark, self.index_path))
+
     def search(
-        self, questions: DataFrame, graph: g.Graph, documents: DataFrame
+        self, questions: DataFrame, graph: g.Graph, index: stored_index.Indexes
     ) -> r.GraphAnswerInputs:
-        index = r.guided_index(documents)
-        found = r.graph_search(questions, graph, index, self.dictionary, documents=documents)
+        found = r.graph_search(questions, graph, index.guided, self.dictionary, documents=index.documents)
         return r.GraphAnswerInputs(found.seeds, stage(found.evidence, "evidence"), found.rows)
 
     def answers(self, questions: DataFrame, evidence: DataFrame, system: str) -> DataFrame:
@@ -153,10 +177,10 @@ class Pipeline:
         self.count(told)
         return replies.parse_answers(questions, told)
 
-    def ask(self, question: str, graph: g.Graph, documents: DataFrame) -> dict:
+    def ask(self, question: str, graph: g.Graph, index: stored_index.Indexes) -> dict:
         """One question: seeds, answer and best edges."""
         questions = self.spark.createDataFrame([(1, question)], "qid bigint, question string")
-        found = self.search(questions, graph, documents)
+        found = self.search(questions, graph, index)
         seeds = [row["node"] for row in found.seeds.orderBy("pos").collect()]
         edges = found.rows.where("rank <= 5").orderBy("rank")
         text = tx.edge_text(F.col("source"), F.col("relation"), F.col("target"))
@@ -167,12 +191,10 @@ class Pipeline:
             "edges": [row["edge"] for row in edges.select(text.alias("edge")).collect()],
         }
 
-    def benchmark(self, questions: DataFrame, graph: g.Graph, documents: DataFrame) -> DataFrame:
+    def benchmark(self, questions: DataFrame, graph: g.Graph, index: stored_index.Indexes) -> DataFrame:
         """All questions through both systems, one row each."""
-        flat = stage(
-            r.flat_search(questions, r.flat_index(documents), score_mode=self.score_mode), "flat"
-        )
-        found = self.search(questions, graph, documents)
+        flat = stage(r.flat_search(questions, index.flat, score_mode=self.score_mode), "flat")
+        found = self.search(questions, graph, index)
         backend = self.backend
         if self.mode != "llm":
             return answers.compare(
@@ -215,8 +237,8 @@ class Pipeline:
 
     # --- everything ----------------------------------------------------------------------------------
 
-    def run(self, questions: DataFrame | None = None) -> tuple[g.Graph, DataFrame, DataFrame]:
-        """Build, export, benchmark, report.  Returns graph, documents and benchmark rows."""
+    def run(self, questions: DataFrame | None = None) -> tuple[g.Graph, stored_index.Indexes, DataFrame]:
+        """Build, export, index, benchmark, report.  Returns graph, indexes and benchmark rows."""
         started = time.perf_counter()
         questions = default_questions(self.spark) if questions is None else questions
         documents = self.documents()
@@ -230,10 +252,11 @@ class Pipeline:
             log.info("chunks to extract: %d, about %s", estimate["uncached_chunks"], shown)
         graph = self.graph(documents)
         files.write_triples(graph, f"{self.output}/triples.csv")
-        results = stage(self.benchmark(questions, graph, documents), "benchmark")
+        index = self.index(documents)
+        results = stage(self.benchmark(questions, graph, index), "benchmark")
         files.write_results(results, f"{self.output}/benchmark_results.csv")
         self.write_metadata(documents, graph, n_documents, n_questions, estimate, started)
-        return graph, documents, results
+        return graph, index, results
 
     def write_metadata(
         self, documents, graph, n_documents: int, n_questions: int, estimate, started: float
