@@ -2,7 +2,8 @@
 
 Batches hold about equal numbers of bytes, whatever the lengths of their texts; a long text is cut into
 portions at white space, where no token can cross.  Counts are those of the library with special
-strings inside texts handled as its default.  Null and empty texts have 0 tokens.  Nothing is shuffled.
+strings inside texts handled as its default.  Null and empty texts have 0 tokens, repeated rows are counted
+each by itself, an empty table gives no rows, and extra columns are not read.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def count_tokens(df: DataFrame, name: str = "word_bpe_49k.json", limit: int = 20
         counter = encoder(vocabulary(name))
         for batch in batches:
             counts: list[int] = []
-            for portion in by_bytes((t or "" for t in batch["text"].to_pylist()), BATCH):
+            for portion in by_bytes((t or "" for t in batch["text"].to_pylist()), BATCH, batch["n_bytes"].to_pylist()):
                 if len(portion) == 1:
                     counts.append(sum(map(len, counter.encode(portion[0]))) // 4)
                 else:

@@ -98,16 +98,16 @@ def encoder(path: str) -> StretchEncoder:
     return found
 
 
-def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
-    """Neighbouring texts in portions of about ``limit`` characters; a longer text is alone."""
+def by_bytes(texts: Iterable[str], limit: int, sizes: Iterable[int] | None = None) -> Iterator[list[str]]:
+    """Neighbouring texts in portions of about ``limit`` of their sizes, characters by default; a longer text is alone."""
     portion: list[str] = []
-    size = 0
-    for text in texts:
-        if portion and size + len(text) > limit:
+    held = 0
+    for text, size in zip(texts, sizes) if sizes is not None else ((t, len(t)) for t in texts):
+        if portion and held + size > limit:
             yield portion
-            portion, size = [], 0
+            portion, held = [], 0
         portion.append(text)
-        size += len(text)
+        held += size
     if portion:
         yield portion
 
