@@ -7,9 +7,14 @@ suffix sort are refined here only where a repeat can be:
     anchor, equal strings at the same place.  Anchors of q-grams that occur once are done with.
 2.  The stretch around an anchor holds every string that the anchor stands for.  Equal stretches
     settle all their strings at once.
-3.  What is left is sorted, within its bucket, by bucket identifiers of later offsets: starts agree in
-    their first q bytes, then in q more, then in all ``length``; each refinement reuses the
-    identifiers of the last and looks only at starts whose bucket still has several members.
+3.  What is left is sorted, within its bucket, by bucket identifiers of later offsets: strings that agree
+    in their first q bytes agree in 2q if the identifiers q bytes further on are equal too, and so on by
+    doubling up to ``length``; each round reuses the identifiers of the last at both offsets.
+
+Identifiers are 64-bit hashes; equal stretches have equal buckets too, so both have to agree where bytes are
+removed because stretches are equal.  Rows of the most frequent q-grams and buckets stay in the tasks that
+hold them: the fewer than ``HOT_KEYS`` keys of more than that fraction of all rows travel to them, and only rows
+of other keys meet by key.
 
 A bucket of more than ``bucket_rows`` different stretches is not gathered into one task: its strings are split
 by where the anchor lies in them, and bucketed anew by the longer core that all strings of a half
@@ -42,6 +47,7 @@ _U = np.uint64
 LENGTH = 200
 GRAM = 64
 BUCKET_ROWS = 8192
+HOT_KEYS = 2_000
 
 
 def _raw(texts: pa.Array) -> list[bytes]:
@@ -204,21 +210,28 @@ def repeated_starts(bucket: np.ndarray, cuts: list[bytes], left: np.ndarray, lo:
     np.cumsum(_BYTES[raw] * up[:width], axis=1, out=sums[:, 1:])
     gram = (sums[:, q:] - sums[:, :-q]) * down[: width - q + 1]  # at every column
     sizes = np.array([len(c) for c in cuts])
-    start = np.arange(width - length + 1)  # column where a string starts; its offset is reach - start
-    offset = reach - start[None, :]
-    fits = (
-        (offset <= np.minimum(left, hi)[:, None])
-        & (offset >= lo[:, None])
-        & (start[None, :] + length <= (reach - left + sizes)[:, None])
-    )
-    row, col = np.nonzero(fits)
-    ids, open_ = _ids(scrambled(gram[row, col] + scrambled(bucket[row].view(_U) + col.astype(_U))))
-    later = [*range(q, length - q, q), length - q]  # offsets of the q-grams that make up the rest
-    for ahead in later:
-        row, col, ids = row[open_], col[open_], ids[open_]
+    first, end = reach - left, reach - left + sizes  # columns of each stretch
+    # Strings of `size` bytes inside their stretch, by column; equal identifiers are equal strings of a bucket and column.
+    col = np.arange(width - q + 1)
+    row, col = np.nonzero((col >= first[:, None]) & (col + q <= end[:, None]))
+    size, ids = q, np.full((n, width), -1, np.int64)
+    found_ids, open_ = _ids(scrambled(gram[row, col] + scrambled(bucket[row].view(_U) + col.astype(_U))))
+    ids[row, col] = found_ids
+    while size < length:
+        step = min(size, length - size)
+        # A longer string is told by the identifiers of its first and its last `size` bytes.
+        longer = open_ & (col + step + size <= end[row])
+        longer[longer] = ids[row[longer], col[longer] + step] >= 0
+        row, col, open_ = row[longer], col[longer], open_[longer]
         if not len(row):
             break
-        ids, open_ = _ids(scrambled(gram[row, col + ahead] + scrambled(ids.astype(_U))))
+        pairs = scrambled(ids[row, col].astype(_U)) + ids[row, col + step].astype(_U)
+        found_ids, open_ = _ids(scrambled(pairs))
+        ids.fill(-1)
+        ids[row, col] = found_ids
+        size += step
+    offset = reach - col
+    open_ &= (offset <= np.minimum(left, hi)[row]) & (offset >= lo[row])
     found = np.zeros((n, reach + 1), bool)
     if len(row):
         found[row[open_], reach - col[open_]] = True
@@ -276,6 +289,18 @@ def _refined(rows: DataFrame, length: int, q: int) -> DataFrame:
     return rows.select("bucket", "rk", "spot", "single", "bytes").mapInArrow(tidy(refine), "rk long, start int, end int")
 
 
+def with_counts(rows: DataFrame, counts: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` whose key is in ``counts`` (one row per key, staged), with its columns.
+
+    Keys of more than 1 / HOT_KEYS of all counted rows are less than HOT_KEYS and travel to the rows of theirs.
+    """
+    counted = counts.agg(F.sum(n)).first()[0] or 0
+    frequent = F.col(n) > counted // HOT_KEYS
+    hot = F.broadcast(counts.where(frequent))
+    others = rows.join(hot.select(key), key, "left_anti").join(counts.where(~frequent), key)
+    return rows.join(hot, key).unionByName(others)
+
+
 def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, q: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end) for every row."""
     # Rows are told apart by a hash of id and text; exact copies of a row get the same spans.
@@ -283,20 +308,22 @@ def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scan = stage(_scan(rows, length, q), "repeat-scan")
     placed = scan.select("rk", F.explode(F.arrays_zip("keys", "places")).alias("at"))
     placed = placed.select("rk", F.col("at.keys").alias("key"), F.col("at.places").alias("place"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    hits = placed.join(shared, "key", "left_semi").groupBy("rk").agg(F.collect_set("place").alias("places"))
+    shared = stage(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeat-shared")
+    hits = with_counts(placed, shared, "key", "n").groupBy("rk").agg(F.collect_set("place").alias("places"))
     hits = stage(hits, "repeat-hits")
     texts = stage(rows.where("text is not null").select("rk", "text").join(hits, "rk"), "repeat-texts")
-    discard(hits)
+    discard(hits, shared)
 
     def reach(rows: DataFrame) -> DataFrame:
         """Where the strings of a spot start and end; an end past the text is cut later."""
         place, lo, hi = F.shiftright("spot", 32), F.shiftright("spot", 16).bitwiseAND(0xFFFF), F.col("spot").bitwiseAND(0xFFFF)
         return rows.select("rk", (place - F.least(place, hi)).cast("int").alias("start"), (place + length - lo).cast("int").alias("end"))
 
+    def members(alike: DataFrame) -> DataFrame:
+        return alike.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+
     def opened(alike: DataFrame) -> DataFrame:
-        members = alike.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-        return alike.join(members, "bucket").withColumn("single", F.col("n") == 1)
+        return alike.join(members(alike), "bucket").withColumn("single", F.col("n") == 1)
 
     def refined(cut: DataFrame) -> DataFrame:
         # A bucket's rows meet in one task; there are at most bucket_rows of them.
@@ -305,13 +332,14 @@ def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     one = F.min(F.struct("rk", "spot")).alias("one")
     stretches = stage(_stretches(texts, length, q), "repeat-stretches")
-    alike = stretches.groupBy("stretch").agg(F.first("bucket").alias("bucket"), F.count("*").alias("n"), one)
-    alike = stage(alike, "repeat-alike")
-    spans = [stage(reach(stretches.join(alike.where("n > 1"), "stretch", "left_semi")), "repeat-settled")]
+    alike = stage(stretches.groupBy("stretch", "bucket").agg(F.count("*").alias("n"), one), "repeat-alike")
+    several = alike.where("n > 1").select("stretch", "bucket")
+    spans = [stage(reach(stretches.join(several, ["stretch", "bucket"], "left_semi")), "repeat-settled")]
     discard(stretches)
-    asked = opened(alike).select("one.rk", F.struct("bucket", "one.spot", "single", "members").alias("item"))
+    sizes = stage(members(alike), "repeat-members")
+    asked = with_counts(alike, sizes, "bucket", "members").withColumn("single", F.col("n") == 1).select("one.rk", F.struct("bucket", "one.spot", "single", "members").alias("item"))
     asked = stage(asked.groupBy("rk").agg(F.collect_list("item").alias("asked"), F.max("item.members").alias("most")), "repeat-asked")
-    discard(alike)
+    discard(alike, sizes)
     cut = _with_bytes(texts.select("rk", "text").join(asked, "rk"), length)
     hot = asked.where(F.col("most") > bucket_rows).limit(1).count() > 0
     if hot:  # read twice, by the refinement and by the split
@@ -320,13 +348,12 @@ def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     discard(asked)
     while hot:
         halves = stage(_halves(cut.where(F.col("members") > bucket_rows), length), "repeat-halves")
-        alike = halves.groupBy("stretch").agg(
-            F.first("bucket").alias("bucket"), F.count("*").alias("n"), one, F.first("bytes").alias("bytes")
-        )
+        alike = halves.groupBy("stretch", "bucket").agg(F.count("*").alias("n"), one, F.first("bytes").alias("bytes"))
         discard(cut)
         cut = stage(opened(alike).select("bucket", "one.rk", "one.spot", "single", "members", "bytes"), "repeat-cut")
-        several = alike.where("n > 1").select("stretch")
-        spans.append(stage(reach(halves.where("single").join(several, "stretch", "left_semi")), "repeat-settled"))
+        several = alike.where("n > 1").select("stretch", "bucket")
+        repeated = halves.where("single").join(several, ["stretch", "bucket"], "left_semi")
+        spans.append(stage(reach(repeated), "repeat-settled"))
         # A representative that was settled in an earlier round is a partner only.
         spans.append(stage(refined(cut), "repeat-refined"))
         hot = cut.where(F.col("members") > bucket_rows).limit(1).count() > 0
