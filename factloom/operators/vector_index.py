@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from factloom.session import ship
 SAMPLE = 20_000  # vectors that the centroids are fitted to, at most
 QUERIES = 2_000  # queries that travel to the tasks at once
 PLACES = 9
+CELLS = 1 << 20  # rows of a step times queries, at most
 
 
 def as_matrix(lists: pa.Array, size: int) -> np.ndarray:
@@ -123,32 +125,62 @@ class VectorIndex:
         wanted = np.zeros((len(vectors), len(centroids)), bool)
         np.put_along_axis(wanted, nearest, True, axis=1)
         lists = self.items().where(F.col("list").isin([int(i) for i in np.unique(nearest)]))
-        item_type = lists.schema["item_id"].dataType.simpleString()
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bar = np.full(len(vectors), -np.inf)
-            held: dict[int, list[tuple]] = {}
-            for batch in batches:
-                matrix = as_matrix(batch["vec"], centroids.shape[1])
-                cosine = np.round((matrix @ vectors.T) / np.linalg.norm(matrix, axis=1)[:, None], PLACES)
-                good = wanted[:, np.asarray(batch["list"])].T & (cosine >= bar)
-                ids = batch["item_id"]
-                for q in np.flatnonzero(good.any(axis=0)):
-                    rows = np.flatnonzero(good[:, q])
-                    if len(rows) > k:  # no row below the k-th best of the batch
-                        rows = rows[cosine[rows, q] >= np.partition(cosine[rows, q], -k)[-k]]
-                    best = held.get(q, []) + [(-cosine[i, q], ids[int(i)].as_py(), batch["list"][int(i)].as_py()) for i in rows]
-                    held[q] = sorted(best)[:k]
-                    if len(held[q]) == k:
-                        bar[q] = -held[q][-1][0]
-            flat = [(q, item, -cosine, of) for q, best in held.items() for cosine, item, of in best]
-            if flat:
-                q, item, cosine, of = zip(*flat)
-                columns = [qids.take(pa.array(q)), pa.array(item, batch["item_id"].type), pa.array(cosine), pa.array(of, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["qid", "item_id", "cosine", "list"])
-
-        qid_type = asked.schema["qid"].dataType.simpleString()
-        return lists.mapInArrow(score, f"qid {qid_type}, item_id {item_type}, cosine double, list int")
+        return _scored(lists, qids, vectors, wanted, k, asked.schema["qid"].dataType.simpleString())
+
+
+def _scored(lists: DataFrame, qids: pa.Array, vectors: np.ndarray, wanted: np.ndarray, k: int, qid_type: str) -> DataFrame:
+    """Of each task over ``lists (list, item_id, vec)`` the best ``k`` of a query in the lists it wants."""
+    item_type = lists.schema["item_id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bar = np.full(len(vectors), -np.inf)
+        held: dict[int, list[tuple]] = {}
+        step = max(1, CELLS // max(1, len(vectors)))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            matrix = as_matrix(batch["vec"], vectors.shape[1])
+            cosine = np.round((matrix @ vectors.T) / np.linalg.norm(matrix, axis=1)[:, None], PLACES)
+            good = wanted[:, np.asarray(batch["list"])].T & (cosine >= bar)
+            ids = batch["item_id"]
+            for q in np.flatnonzero(good.any(axis=0)):
+                rows = np.flatnonzero(good[:, q])
+                if len(rows) > k:  # no row below the k-th best of the batch
+                    rows = rows[cosine[rows, q] >= np.partition(cosine[rows, q], -k)[-k]]
+                best = held.get(q, []) + [(-cosine[i, q], ids[int(i)].as_py(), batch["list"][int(i)].as_py()) for i in rows]
+                held[q] = sorted(best)[:k]
+                if len(held[q]) == k:
+                    bar[q] = -held[q][-1][0]
+        flat = [(q, item, -cosine, of) for q, best in held.items() for cosine, item, of in best]
+        if flat:
+            q, item, cosine, of = zip(*flat)
+            columns = [qids.take(pa.array(q)), pa.array(item, batch["item_id"].type), pa.array(cosine), pa.array(of, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["qid", "item_id", "cosine", "list"])
+
+    return lists.mapInArrow(score, f"qid {qid_type}, item_id {item_type}, cosine double, list int")
+
+
+def exact_nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """The ``k`` items of greatest cosine per query, ``(qid, rank, item_id, cosine)``, without an index.
+
+    All pairs are scored, a portion of the queries and some rows at a time, so memory is bounded; the work
+    is queries times items.
+    """
+    ship(items.sparkSession)
+    asked = usable(queries).select("qid", "vec")
+    rows = usable(items).select(F.lit(0).alias("list"), "item_id", "vec")
+    parts = max(1, -(-asked.count() // QUERIES))
+
+    def portion(i: int) -> DataFrame:
+        few = asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i).toArrow().combine_chunks()
+        vectors = np.array(few["vec"].to_pylist(), dtype=float).reshape(len(few), -1 if len(few) else 1)
+        vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        found = rows if len(few) else rows.limit(0)
+        kind = asked.schema["qid"].dataType.simpleString()
+        return _scored(found, few["qid"].combine_chunks(), vectors, np.ones((len(few), 1), bool), k, kind)
+
+    whole = reduce(DataFrame.unionByName, map(portion, range(parts)))
+    best = Window.partitionBy("qid").orderBy(F.desc("cosine"), "item_id")
+    ranked = whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("qid", "rank", "item_id", "cosine")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
