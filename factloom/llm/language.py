@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -31,6 +32,8 @@ BITS = 15  # slots per gram length: 2 ** BITS
 GRAMS = 2
 TRAIN_ROWS = 20_000  # labelled texts to learn from, about
 BLOCK = 1 << 19  # characters scored at once
+ROWS = 2_048  # rows of a batch labelled at once
+OPEN_WORDS = 1 << 17  # words of texts that may be mixed whose scores are held at once, about
 UNKNOWN = "und"
 
 
@@ -103,7 +106,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", rows: int = TR
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             by_lang: dict[str, list[str]] = {}
             for body, name in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
                 by_lang.setdefault(name, []).append(body)
@@ -208,6 +211,16 @@ def label(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]
     names, shares, spans = [], [], []
     is_letter = tables()[1]
     open_: list[tuple[int, np.ndarray, np.ndarray]] = []  # texts that may be mixed: place, scores, letters
+
+    def settle() -> None:
+        for (i, _, lengths), labels in zip(open_, best_paths([s for _, s, _ in open_], model.switch)):
+            votes = np.bincount(labels, weights=lengths, minlength=len(model.languages))
+            best = int(votes.argmax())
+            names[i], shares[i] = model.languages[best], float(votes[best] / votes.sum())
+            cuts = np.concatenate([[0], np.flatnonzero(labels[1:] != labels[:-1]) + 1, [len(labels)]])
+            spans[i] = [(int(b - a), model.languages[labels[a]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        open_.clear()
+
     for block in _blocks([t or "" for t in texts]):
         scores, lengths, stops = word_scores(model, block)
         single, mixed = one_label(scores, stops, model.switch)
@@ -225,22 +238,25 @@ def label(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]
                 shares.append(1.0)
                 spans.append([(stop - at, model.languages[best])])
             at = stop
-    for (i, _, lengths), labels in zip(open_, best_paths([s for _, s, _ in open_], model.switch)):
-        votes = np.bincount(labels, weights=lengths, minlength=len(model.languages))
-        best = int(votes.argmax())
-        names[i], shares[i] = model.languages[best], float(votes[best] / votes.sum())
-        cuts = np.concatenate([[0], np.flatnonzero(labels[1:] != labels[:-1]) + 1, [len(labels)]])
-        spans[i] = [(int(b - a), model.languages[labels[a]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        # Scores are held for some texts at a time, however many a batch has.
+        if sum(len(held) for _, held, _ in open_) >= OPEN_WORDS:
+            settle()
+    settle()
     return names, shares, spans
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a bounded number of rows, so a large batch is not held as lists."""
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+
+
 def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and spans (words, lang) for every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("words", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             names, shares, spans = label(shared.value, batch["text"].to_pylist())
             listed = [[{"words": n, "lang": name} for n, name in s] for s in spans]
             yield pa.RecordBatch.from_arrays(
@@ -256,14 +272,16 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 def with_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``row``, the rows of ``df`` as one column, so no name of theirs can clash, with lang_pred and score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, shares, _ = label(shared.value, batch["text"].to_pylist())
+        for batch in _slices(batches):
+            texts = pc.struct_field(batch["row"], place)
+            names, shares, _ = label(shared.value, texts.to_pylist())
             added = [pa.array(names, pa.string()), pa.array(shares, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch["row"], *added], ["row", "lang_pred", "score"])
 
-    rows = df.select(F.struct("*").alias("row")).select("row", F.col("row")[text].alias("text"))
+    rows = df.select(F.struct("*").alias("row"))  # the text is in it, and travels once
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
     return rows.mapInArrow(tidy(run), StructType([rows.schema["row"], *added]))
