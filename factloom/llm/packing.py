@@ -66,20 +66,25 @@ class Example:
         return min(tokens, int(np.searchsorted(np.cumsum(self.loss), loss_tokens, side="right")))
 
 
+EMPTY = float(1 << 60)  # need of an empty slot, which fits nowhere
+
+
 class Packer:
     """Packs a stream of examples; yields (sequence number, offset, example piece)."""
 
     def __init__(self, limits: Limits) -> None:
         self.limits, self.number = limits, 0
         self.pool: list[Example | None] = [None] * limits.pool
-        self.need = np.full((limits.pool, 2), np.inf)  # tokens and loss tokens; inf where empty
+        self.tokens, self.loss = np.full((2, limits.pool), EMPTY)  # needed
         self.free = list(range(limits.pool - 1, -1, -1))
 
     def _put(self, slot: int, example: Example) -> None:
-        self.pool[slot], self.need[slot] = example, example.demand()
+        self.pool[slot] = example
+        self.tokens[slot], self.loss[slot] = example.demand()
 
     def _take(self, slot: int) -> Example:
-        example, self.pool[slot], self.need[slot] = self.pool[slot], None, np.inf
+        example, self.pool[slot] = self.pool[slot], None
+        self.tokens[slot] = self.loss[slot] = EMPTY
         self.free.append(slot)
         return example
 
@@ -101,25 +106,26 @@ class Packer:
     def fill(self) -> Iterator[tuple[int, int, Example]]:
         """One sequence from the pool."""
         most = self.limits
-        caps = np.array([most.tokens, most.loss_tokens], float)
-        room, segments, offset = caps.copy(), most.segments, 0
+        room, loss_room, segments, offset = most.tokens, most.loss_tokens, most.segments, 0
         while segments:
-            fits = (self.need <= room).all(axis=1)
-            if not fits.any():
-                break
             # Every example takes one segment, so that term is the same for all of them.
-            score = np.where(fits, np.where(fits[:, None], self.need, 0) @ (room / caps**2), -1.0)
-            example = self._take(int(score.argmax()))
+            score = self.tokens * (room / most.tokens**2) + self.loss * (loss_room / most.loss_tokens**2)
+            score[~((self.tokens <= room) & (self.loss <= loss_room))] = -1.0
+            slot = int(score.argmax())
+            if score[slot] < 0:
+                break
+            example = self._take(slot)
             yield self.number, offset, example
-            room -= example.demand()
-            offset += len(example.ids)
+            tokens, loss = example.demand()
+            room -= tokens
+            loss_room -= loss
+            offset += tokens
             segments -= 1
-        if segments and min(room) >= most.least_cut:
-            tokens = self.need[:, 0]
-            longer = np.where(np.isfinite(tokens) & (tokens >= room[0] + most.least_cut), tokens, -1.0)
+        if segments and min(room, loss_room) >= most.least_cut:
+            longer = np.where((self.tokens < EMPTY) & (self.tokens >= room + most.least_cut), self.tokens, -1.0)
             slot = int(longer.argmax())
             if longer[slot] > 0:
-                at = self.pool[slot].longest(int(room[0]), int(room[1]))
+                at = self.pool[slot].longest(room, loss_room)
                 if at >= most.least_cut:
                     head, tail = self.pool[slot].split(at)
                     self._put(slot, tail)
@@ -147,7 +153,7 @@ def pack_rows(
         def rows(pieces: list[tuple[int, int, Example]]) -> pa.RecordBatch:
             cols = zip(
                 *(
-                    (p.key, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.demand()[1], p.total, base + n, offset)
+                    (p.key, p.start, len(p.ids), zlib.crc32(np.ascontiguousarray(p.ids, "<u4")), p.demand()[1], p.total, base + n, offset)
                     for n, offset, p in pieces
                 )
             )
@@ -183,7 +189,7 @@ def pack_texts(
         coder = encoder(vocabulary(name))
         keys = iter(batch["doc_id"].to_pylist())
         end = np.array([end_id], np.uint32).tobytes()
-        for portion in by_bytes((t.as_py() or "" for t in batch["text"]), BATCH):
+        for portion in by_bytes((t or "" for t in batch["text"].to_pylist()), BATCH):
             coded = coder.encode_all(portion) if len(portion) > 1 else [b"".join(coder.encode(portion[0]))]
             for ids in coded:
                 yield Example(next(keys), np.frombuffer(ids + end, np.uint32))
