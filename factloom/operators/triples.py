@@ -46,12 +46,14 @@ def coerce_triples(parsed: DataFrame) -> DataFrame:
     def field(name: str, missing: str) -> Column:
         return tx.clean_text(F.coalesce(F.col(f"t.{name}"), F.lit(missing)))
 
+    # The filter below reads both ends several times.
+    rows = once(rows, "ends", F.struct(field("source", "").alias("source"), field("target", "").alias("target")))
     fields = rows.select(
         *keep,
         "triple_ord",
-        field("source", "").alias("source"),
+        "ends.source",
         tx.relation_name(F.coalesce("t.relation", F.lit(""))).alias("relation"),
-        field("target", "").alias("target"),
+        "ends.target",
         field("source_type", "Entity").alias("source_type"),
         field("target_type", "Entity").alias("target_type"),
         field("evidence", "").alias("evidence"),
