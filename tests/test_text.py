@@ -168,3 +168,13 @@ def test_whole_texts_are_asked_for_by_default():
     key = {"OPENAI_API_KEY": "k"}
     assert ChatSettings("k").max_chunks_per_doc is None and ChatSettings.from_env(key).max_chunks_per_doc is None
     assert ChatSettings.from_env(key | {"FACTLOOM_MAX_CHUNKS_PER_DOC": "3"}).max_chunks_per_doc == 3
+
+
+def test_characters_are_not_looked_up_one_by_one(spark, capsys):
+    df = spark.createDataFrame([("a　\n b  c d\r",)], "t string")
+    for fn, wanted in ((tx.clean_text, "a　\n b c d"), (tx.collapse_spaces, "a b c d")):
+        found = df.select(fn(F.col("t")).alias("v"))
+        found.explain(True)
+        assert "translate(" not in capsys.readouterr().out
+        assert found.first()["v"] == wanted
+    check(spark, tx.is_garbage, {"abc\x00\x01": True, "\x0b\x1f�": True, "a\t\r\n" * 9: False, "": False})
