@@ -8,6 +8,7 @@ rows of ``edge_sources`` and are joined to a cell of text only where a file form
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,12 +37,27 @@ class Graph:
     edges: DataFrame
     edge_sources: DataFrame
 
-    def staged(self) -> Graph:
-        return Graph(
-            stage(self.nodes, "nodes"),
-            stage(self.edges, "edges"),
-            stage(self.edge_sources, "edge-sources"),
-        )
+    def staged(self) -> StagedGraph:
+        return StagedGraph(self)
+
+
+class StagedGraph:
+    """The tables of a graph, each staged when first asked for, so a read of one does not make the others."""
+
+    def __init__(self, built: Graph) -> None:
+        self._built = built
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return stage(self._built.nodes, "nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return stage(self._built.edges, "edges")
+
+    @cached_property
+    def edge_sources(self) -> DataFrame:
+        return stage(self._built.edge_sources, "edge-sources")
 
 
 # --- facts -----------------------------------------------------------------------------------------

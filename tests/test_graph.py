@@ -185,3 +185,24 @@ def test_files_are_folded_in_the_order_of_their_names(spark, tmp_path):
     graph = files.graph_from_triple_rows(files.read_triples(spark, f"file://{folder}"), en.DEFAULT_DICTIONARY)
     (edge,) = graph.edges.where("source = 'A'").collect()
     assert [e.split()[0] for e in edge["evidence"]] == ["first", "second", "third", "fourth"] and edge["n_sources"] == 4
+
+
+def test_reading_a_staged_table_makes_no_other(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(g, "stage", lambda df, name: made.append(name) or df)
+    rows = facts(spark, [("a", "R", "b", 1.0, "e", "doc_1")])
+    staged = g.Graph(rows.select("source"), g.fold_edges(rows), g.source_rows(rows)).staged()
+    assert staged.edge_sources.count() == 1 and staged.edge_sources.count() == 1
+    assert made == ["edge-sources"]
+
+
+def test_ends_of_a_triple_are_cleaned_once(spark, capsys):
+    parsed = spark.createDataFrame(
+        [("doc_1", 1, "T", "l", 1, [(" a  b ", "is", "c", None, None, None, None), ("A", "is", " a ", None, None, None, None)])],
+        f"doc_id string, doc_seq bigint, title string, link string, chunk_index bigint, triples {tr.TRIPLES}",
+    )
+    found = tr.coerce_triples(parsed)
+    found.explain("formatted")
+    conditions = [x for x in capsys.readouterr().out.split("\n") if x.startswith("Condition")]
+    assert conditions and not any("regexp_replace" in x for x in conditions)
+    assert [(r["source"], r["target"]) for r in found.collect()] == [("a b", "c")]
