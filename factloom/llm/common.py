@@ -45,6 +45,15 @@ def own(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[f"`{source}`"].alias(name) for name, source in columns.items()))
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: no side of that join is sent whole to the driver and the tasks.
+
+    Spark takes rows of a generator or an Arrow function to be as few as those below, and files to be
+    as large as they are packed, so it would send tables that are many times what it allows.
+    """
+    return side.hint("merge")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import own, tidy
+from factloom.llm.common import own, shuffled, tidy
 from factloom.llm.wordhash import numbers, shingle_set, word_hashes
 from factloom.session import stage
 
@@ -107,7 +107,7 @@ def postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
     features = _exploded(classes, coordinates)
     shared = features.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     mine = (
-        features.join(shared, "key")
+        features.join(shuffled(shared), "key")
         .groupBy("cls")
         .agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("held"), F.sum("n").alias("pop"))
     )
@@ -129,7 +129,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
             kept = (a == b).sum(axis=1) >= least
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(kept)), batch["b"].filter(pa.array(kept))], ["a", "b"])
 
-    side = classes.select("cls", "sig")
+    side = shuffled(classes.select("cls", "sig"))
     wide = pairs.join(side.select(F.col("cls").alias("a"), F.col("sig").alias("a_sig")), "a").join(
         side.select(F.col("cls").alias("b"), F.col("sig").alias("b_sig")), "b"
     )
@@ -155,8 +155,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 [batch["a"].filter(pa.array(kept, pa.bool_())), batch["b"].filter(pa.array(kept, pa.bool_()))], ["a", "b"]
             )
 
-    wide = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b").join(
-        texts.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a"
+    side = shuffled(texts.select("cls", "text"))
+    wide = pairs.join(side.select(F.col("cls").alias("b"), F.col("text").alias("b_text")), "b").join(
+        side.select(F.col("cls").alias("a"), F.col("text").alias("a_text")), "a"
     )
     return wide.select("a", "b", "a_text", "b_text").mapInArrow(tidy(confirm), "a long, b long")
 
@@ -172,17 +173,17 @@ def components(links: DataFrame) -> DataFrame:
         # Towards greater neighbours: each node tells those above it its smallest neighbour.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(shuffled(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         # Towards smaller ones: each node and its smaller neighbours point to the smallest.
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (
-            large.join(lowest, "a")
+            large.join(shuffled(lowest), "a")
             .select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
             .where("a > b")
             .distinct()
         )
         after = stage(small, "links")
-        changed = after.join(edges, ["a", "b"], "left_anti").limit(1).count() or edges.join(after, ["a", "b"], "left_anti").limit(1).count()
+        changed = any(x.join(shuffled(y), ["a", "b"], "left_anti").limit(1).count() for x, y in ((after, edges), (edges, after)))
         edges = after
         if not changed:
             break
@@ -215,7 +216,7 @@ def near_duplicates(
 
     leaders = posted.groupBy("key").agg(F.max(F.struct("pop", "cls")).alias("top"), F.count("*").alias("n")).where("n > 1")
     first = (
-        posted.join(leaders, "key")
+        posted.join(shuffled(leaders), "key")
         .where(F.col("cls") != F.col("top.cls"))
         .select(F.col("top.cls").alias("a"), F.col("cls").alias("b"))
         .distinct()
@@ -231,10 +232,10 @@ def near_duplicates(
     if more.limit(1).count():
         comps = components(links.union(more))
 
-    heads = classes.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    heads = classes.join(shuffled(comps), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least_ids = heads.groupBy("comp").agg(F.min("head").alias("component_id"))
-    named = heads.join(least_ids, "comp").select("set_key", "comp", "component_id")
-    result = docs.drop("sig").join(named, "set_key", "left")
+    named = heads.join(shuffled(least_ids), "comp").select("set_key", "comp", "component_id")
+    result = docs.drop("sig").join(shuffled(named), "set_key", "left")
     # Without shingles a row stands for itself.
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.col("doc_id").eqNullSafe(component)
@@ -257,7 +258,7 @@ def representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     # The caller's row travels as one column, so no name of it can clash.
     rows = df.select(F.struct("*").alias("row")).select("row", F.col("row")[doc_id].alias("id"), F.col("row")[text].alias("text"))
     same = F.col("id").eqNullSafe(F.col("near_id")) & (F.xxhash64("text") == F.col("near_text"))
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["id", "text"]).select("row.*")
+    return rows.join(shuffled(chosen), same, "left_semi").dropDuplicates(["id", "text"]).select("row.*")
 
 
 def _texts(df: DataFrame, doc_id: str, text: str, classes: DataFrame, posted: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -265,24 +266,24 @@ def _texts(df: DataFrame, doc_id: str, text: str, classes: DataFrame, posted: Da
 
     Ids may repeat or be null, so a row is found by its id and the hash of its text.
     """
-    needed = posted.join(leaders, "key", "left_semi").select("cls").distinct()
-    shown = classes.join(needed, "cls", "left_semi").select(
+    needed = posted.join(shuffled(leaders), "key", "left_semi").select("cls").distinct()
+    shown = classes.join(shuffled(needed), "cls", "left_semi").select(
         "cls", F.col("shown.doc_id").alias("shown_id"), F.col("shown.text_key").alias("text_key")
     )
     rows = own(df, doc_id=doc_id, text=text).where("text is not null").withColumn("text_key", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(shown["shown_id"]) & (rows["text_key"] == shown["text_key"])
-    return stage(rows.join(shown, same).select("cls", "text").dropDuplicates(["cls"]), "near-texts")
+    return stage(rows.join(shuffled(shown), same).select("cls", "text").dropDuplicates(["cls"]), "near-texts")
 
 
 def _open(posted: DataFrame, leaders: DataFrame, comps: DataFrame) -> DataFrame:
     """(cls, comp) of the classes in lists whose classes lie in several components."""
     labelled = (
-        posted.join(leaders.select("key"), "key", "left_semi")
-        .join(comps, "cls", "left")
+        posted.join(shuffled(leaders.select("key")), "key", "left_semi")
+        .join(shuffled(comps), "cls", "left")
         .select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
     )
     several = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return labelled.join(several, "key", "left_semi").select("cls", "comp").distinct()
+    return labelled.join(shuffled(several), "key", "left_semi").select("cls", "comp").distinct()
 
 
 def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -303,14 +304,14 @@ def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     [pa.array(cls), pa.array(np.concatenate(found).view(np.int64))], ["cls", "shingle"]
                 )
 
-    rows = stage(texts.join(open_, "cls", "left_semi").mapInArrow(tidy(explode), "cls long, shingle long"), "near-shingles")
+    rows = stage(texts.join(shuffled(open_), "cls", "left_semi").mapInArrow(tidy(explode), "cls long, shingle long"), "near-shingles")
     common = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = rows.groupBy("cls").agg(F.count("*").alias("size")).join(open_, "cls")
-    held = rows.join(common, "shingle").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    sizes = rows.groupBy("cls").agg(F.count("*").alias("size")).join(shuffled(open_), "cls")
+    held = rows.join(shuffled(common), "shingle").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
     single = F.col("size") - F.size("held")  # shingles no other class has come first
     first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     posts = (
-        held.join(sizes, "cls")
+        held.join(shuffled(sizes), "cls")
         .select("cls", "comp", "size", single.alias("single"), F.slice("held", F.lit(1), F.greatest(first - single, F.lit(0)).cast("int")).alias("held"))
         .select("cls", "comp", "size", "single", F.posexplode("held").alias("at", "item"))
         .select(F.col("item.shingle").alias("shingle"), "cls", "comp", "size", (F.col("size") - F.col("single") - F.col("at")).alias("left"))
@@ -321,5 +322,5 @@ def _across(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     near = (F.col("y.size") * 100 >= F.col("x.size") * percent) & (
         F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent
     )
-    pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.comp") != F.col("y.comp")) & smaller & near)
+    pairs = x.join(shuffled(y), F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.comp") != F.col("y.comp")) & smaller & near)
     return pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
