@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.common import n_words, own
+from factloom.llm.common import n_words, own, shuffled
 from factloom.session import stage
 
 BLOCK = 4096  # rows of a block at the first level
@@ -223,7 +223,7 @@ def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     same = (
         keyed["row_id"].eqNullSafe(copies["doc_id"]) & keyed["row_source"].eqNullSafe(copies["source"]) & (keyed["words"] == copies["size"])
     )
-    joined = keyed.join(copies, same).select("row", "doc_id", "source", "size", "copies", "rows")
+    joined = keyed.join(shuffled(copies), same).select("row", "doc_id", "source", "size", "copies", "rows")
     # Only rows that share their key are ordered by text; the others take all copies of the key.
     place = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(row[text])) - 1
     several = joined.where("rows > 1").withColumn("place", place)

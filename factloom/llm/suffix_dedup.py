@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.anchors import anchors
-from factloom.llm.common import own, tidy
+from factloom.llm.common import own, shuffled, tidy
 from factloom.llm.wordhash import _BYTES, powers, scrambled
 from factloom.session import discard, stage
 
@@ -297,7 +297,7 @@ def with_counts(rows: DataFrame, counts: DataFrame, key: str, n: str) -> DataFra
     counted = counts.agg(F.sum(n)).first()[0] or 0
     frequent = F.col(n) > counted // HOT_KEYS
     hot = F.broadcast(counts.where(frequent))
-    others = rows.join(hot.select(key), key, "left_anti").join(counts.where(~frequent), key)
+    others = rows.join(hot.select(key), key, "left_anti").join(shuffled(counts.where(~frequent)), key)
     return rows.join(hot, key).unionByName(others)
 
 
@@ -311,7 +311,7 @@ def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = stage(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "repeat-shared")
     hits = with_counts(placed, shared, "key", "n").groupBy("rk").agg(F.collect_set("place").alias("places"))
     hits = stage(hits, "repeat-hits")
-    texts = stage(rows.where("text is not null").select("rk", "text").join(hits, "rk"), "repeat-texts")
+    texts = stage(rows.where("text is not null").select("rk", "text").join(shuffled(hits), "rk"), "repeat-texts")
     discard(hits, shared)
 
     def reach(rows: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return alike.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
 
     def opened(alike: DataFrame) -> DataFrame:
-        return alike.join(members(alike), "bucket").withColumn("single", F.col("n") == 1)
+        return alike.join(shuffled(members(alike)), "bucket").withColumn("single", F.col("n") == 1)
 
     def refined(cut: DataFrame) -> DataFrame:
         # A bucket's rows meet in one task; there are at most bucket_rows of them.
@@ -334,13 +334,13 @@ def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stretches = stage(_stretches(texts, length, q), "repeat-stretches")
     alike = stage(stretches.groupBy("stretch", "bucket").agg(F.count("*").alias("n"), one), "repeat-alike")
     several = alike.where("n > 1").select("stretch", "bucket")
-    spans = [stage(reach(stretches.join(several, ["stretch", "bucket"], "left_semi")), "repeat-settled")]
+    spans = [stage(reach(stretches.join(shuffled(several), ["stretch", "bucket"], "left_semi")), "repeat-settled")]
     discard(stretches)
     sizes = stage(members(alike), "repeat-members")
     asked = with_counts(alike, sizes, "bucket", "members").withColumn("single", F.col("n") == 1).select("one.rk", F.struct("bucket", "one.spot", "single", "members").alias("item"))
     asked = stage(asked.groupBy("rk").agg(F.collect_list("item").alias("asked"), F.max("item.members").alias("most")), "repeat-asked")
     discard(alike, sizes)
-    cut = _with_bytes(texts.select("rk", "text").join(asked, "rk"), length)
+    cut = _with_bytes(texts.select("rk", "text").join(shuffled(asked), "rk"), length)
     hot = asked.where(F.col("most") > bucket_rows).limit(1).count() > 0
     if hot:  # read twice, by the refinement and by the split
         cut = stage(cut, "repeat-cut")
@@ -352,7 +352,7 @@ def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         discard(cut)
         cut = stage(opened(alike).select("bucket", "one.rk", "one.spot", "single", "members", "bytes"), "repeat-cut")
         several = alike.where("n > 1").select("stretch", "bucket")
-        repeated = halves.where("single").join(several, ["stretch", "bucket"], "left_semi")
+        repeated = halves.where("single").join(shuffled(several), ["stretch", "bucket"], "left_semi")
         spans.append(stage(reach(repeated), "repeat-settled"))
         # A representative that was settled in an earlier round is a partner only.
         spans.append(stage(refined(cut), "repeat-refined"))
@@ -362,10 +362,10 @@ def repeated_strings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for part in spans[1:]:
         found = found.union(part)
     found = found.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
-    cuts = _kept(texts.select("rk", "text").join(found, "rk")).dropDuplicates(["rk"])
+    cuts = _kept(texts.select("rk", "text").join(shuffled(found), "rk")).dropDuplicates(["rk"])
     return (
         scan.select("doc_id", "rk", "n_bytes", "sha256")
-        .join(cuts, "rk", "left")
+        .join(shuffled(cuts), "rk", "left")
         .select(
             "doc_id",
             "n_bytes",
@@ -427,7 +427,7 @@ def cut_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how
     # The caller's row travels as one column, so no name of it can clash.
     rows, row = df.select(F.struct("*").alias("row")), F.col("row")
     same = row[doc_id].eqNullSafe(F.col("cut_id")) & (F.sha2(row[text].cast("binary"), 256) == F.col("cut_sha"))
-    joined = rows.join(spans, same, "left").select("row", "cut")
+    joined = rows.join(shuffled(spans), same, "left").select("row", "cut")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, all_spans: pd.Series) -> pd.Series:

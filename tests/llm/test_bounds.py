@@ -1,6 +1,11 @@
+import random
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from factloom.llm import language, packing
+from factloom.llm import language, minhash, mixing, packing, suffix_dedup
+from factloom.session import stage
 
 
 def test_open_texts_of_a_batch_are_settled_some_at_a_time(monkeypatch):
@@ -34,3 +39,29 @@ def test_need_of_empty_slots_never_fits():
         assert offset == filled.get(number, 0)
         filled[number] = offset + len(piece.ids)
     assert sum(filled.values()) == sum(sizes) and max(filled.values()) == 8
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(60)) for _ in range(20)]
+    rows = [(i, " ".join([f"w{i}", texts[i % 20], "end"]), f"s{i % 2}") for i in range(80)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_no_side_of_a_join_that_grows_goes_to_the_driver(spark, copies, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(minhash, "stage", kept)
+    found = minhash.near_duplicates(copies, percent=80)
+    plans["near"] = found._jdf.queryExecution().executedPlan().toString()
+    plans["mix"] = mixing.repeated(copies)._jdf.queryExecution().executedPlan().toString()
+    plans["cut"] = suffix_dedup.cut_repeats(copies)._jdf.queryExecution().executedPlan().toString()
+    assert found.agg(F.countDistinct("comp")).first()[0] == 20
+    assert "near-postings" in plans and "near-rest" in plans
+    assert "SortMergeJoin" in plans.pop("mix")  # the flips in it are few per source, and may travel
+    assert [name for name, plan in plans.items() if "BroadcastHashJoin" in plan or "BroadcastNestedLoop" in plan] == []
