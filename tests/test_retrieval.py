@@ -163,3 +163,24 @@ def test_facts_of_documents_are_reached_as_by_the_walk(spark):
                 want[q, s, rel, t] = min(ends)
     got = {(x.qid, x.source, x.relation, x.target): x.dist for x in r.edges_in_reach(seeds, edges).collect()}
     assert got == want and (1, "doc:1", "CITES", "doc:3") in got and (3, "B", "AUTHOR_OF", "doc:1") in got
+
+
+def test_vectors_meet_votes_as_numbers_and_winners_meet_chunks_without_a_shuffle(spark):
+    texts = [f"alpha beta word{i} gamma delta epsilon zeta eta theta number {i} more words here" for i in range(6)]
+    chunks = spark.createDataFrame([(f"doc_{i}", i, f"doc_{i}", 0, t, f"k{i}") for i, t in enumerate(texts)], CHUNK)
+    index = r.build_index(chunks, "small", 50, [], guided=True)
+    votes = spark.createDataFrame([(1, "doc_2", 3), (1, "doc_4", 1), (2, "doc_2", 5)], "qid bigint, doc_id string, votes bigint")
+    found = r.voted_vectors(index, votes, ["doc_id", "vec", "terms"])
+    plain = {x["doc_id"]: x for x in index.vectors.collect()}
+    got = {x["doc_id"]: x for x in found.collect()}
+    assert sorted(got) == ["doc_2", "doc_4"] and found.schema["vec"].dataType.simpleString() == index.vectors.schema["vec"].dataType.simpleString()
+    assert all(got[d]["vec"] == plain[d]["vec"] and got[d]["terms"] == plain[d]["terms"] for d in got)
+    assert sorted(map(tuple, got["doc_2"]["voted"])) == [(1, 3), (2, 5)]
+    asked = spark.createDataFrame([(1, "alpha word3 number"), (2, "beta word5")], "qid bigint, question string")
+    top = r.flat_search(asked, index, 2)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(doc_id" not in plan
+    assert {x["qid"]: x["source_id"] for x in top.collect() if x["rank"] == 1} == {1: "doc_3", 2: "doc_5"}
+
+
+CHUNK = "doc_id string, doc_seq bigint, title string, chunk_ix int, text string, text_key string"
